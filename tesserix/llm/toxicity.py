@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, table
+from .common import crc_of_id, cut, table
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 SAMPLE = 20_000
-#: A term's least share of toxic documents, and how many times as often they must have it.
-SUPPORT, RATIO = 0.008, 25.0
+#: A term's least share of toxic documents, their least number, and how many times as often they must have it.
+SUPPORT, LEAST, RATIO = 0.02, 4, 10.0
 #: Lengths of stems; words from this length on may be misspelt; tokens in a context window.
 STEMS, FUZZY, WINDOW = range(4, 9), 5, 50
 THRESHOLD = 0.3
@@ -226,14 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """
     y = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the sample's size bounds what is broadcast
-    rows = docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y")
+    # the sample's size bounds what is broadcast and what is kept; copies of a text teach once
+    rows = cut(docs.select("doc_id", "text").join(F.broadcast(y), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "y").groupBy("text").agg(F.max("y").alias("y")))
     n = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     n_toxic, n_clean = sum(v for k, v in n.items() if k), n.get(0, 0)
     if not n_toxic or not n_clean:
         share = n_toxic / max(1, n_toxic + n_clean)
         return Model([], [], bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    least = max(3, int(SUPPORT * n_toxic))
+    least = max(LEAST, int(SUPPORT * n_toxic))
     counted = rows.where("y > 0").select("text").mapInArrow(count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     toxic = {r["term"]: r["n"] for r in counted.collect()}
     counted = rows.where("y = 0").select("text").mapInArrow(count_terms(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
