@@ -28,6 +28,8 @@ from .common import cut, shared_dir, table
 from .textkit import flat, mixed, powers, slices
 
 LENGTH, GRAM = 400, 160
+#: Batches in which the query's documents enter the index.
+BATCHES = 4
 #: A batch of up to this many entries is of the lowest size class; each class is twice the one before.
 SMALLEST = 1 << 16
 
@@ -65,13 +67,13 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
     gram_hash = (total[gram:] - total[:-gram]) * powers(size + 1)[1][: size - gram + 1]
     gram_hash ^= gram_hash >> np.uint64(31)
     gram_hash *= np.uint64(0x9FB21C651E98DF25)
-    # the place breaks ties within a window: its low bits make the later one the smaller
-    low = np.uint64(1023)
-    key = (gram_hash & ~low) | (low - (np.arange(len(gram_hash), dtype=np.uint64) & low))
+    # the low bits hold the place and make the later of equal hashes the smaller; equal strings have the same ties, so they agree
+    low = np.uint64((1 << size.bit_length()) - 1)
+    key = (gram_hash & ~low) | (low - np.arange(len(gram_hash), dtype=np.uint64))
     least = sliding(key, width, np.minimum)  # least[s] belongs to the string that starts at s
     starts = np.flatnonzero(np.repeat(n >= length, n)[: len(least)] & (np.arange(len(least)) + length <= np.repeat(offsets[1:], n)[: len(least)]))
     value = least[starts]
-    at = starts + ((low - (value & low) - starts.astype(np.uint64)) & low).astype(np.int64)
+    at = (low - (value & low)).astype(np.int64)
     text = np.searchsorted(offsets, starts, "right") - 1
     new = np.empty(len(starts), bool)
     new[0] = True
@@ -151,11 +153,12 @@ class Index:
     def add(self, docs: DataFrame) -> None:
         """docs: (d, t, text), d and t naming a document."""
         made = docs.select("d", "t", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(entries(self.length, self.gram), "d long, t long, a int, b int, fp long, ctx long")
-        self.levels.append(self._write(made))
+        self.levels.append(self._write(made.sortWithinPartitions("fp", "ctx")))
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
             (_, x), (_, y) = self.levels.pop(), self.levels.pop()
-            both = self.spark.read.parquet(x, y)
-            self.levels.append(self._write(both.repartitionByRange("fp").sortWithinPartitions("fp", "ctx")))
+            # an entry's own hash deals it out too, so that a string that many documents hold is no single task's
+            both = self.spark.read.parquet(x, y).repartitionByRange("fp", "ctx", "d", "a")
+            self.levels.append(self._write(both.sortWithinPartitions("fp", "ctx")))
 
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(*[p for _, p in self.levels])
@@ -195,5 +198,5 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents"))
+    out = remove_repeats(table(spark, sf_dir, "documents"), batches=BATCHES)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
