@@ -10,8 +10,8 @@ A level is a table of entries, sorted by fp. A batch becomes a new level and is
 against the levels there are; while two levels have the same size class, they are merged, so n
 batches leave log n levels. The scan has two steps. Entries with equal fp and ctx repeat each
 other in whole. Of those that only share fp, one of each ctx gives the hashes of its strings,
-and strings that two of them have are repeated. Both are aggregations and joins on hashes, so a
-passage that many documents hold is never gathered in a task.
+and strings that two of them have are repeated: they meet by hash, sorted, with one row held at
+a time. So a passage that many documents hold is never gathered in a task's memory.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import discard, shared_dir, stored, table
 from .textkit import flat, mixed, powers, slices
 
 LENGTH, GRAM = 400, 160
 #: Batches in which the query's documents enter the index.
-BATCHES = 4
+BATCHES = 3
 #: A batch of up to this many entries is of the lowest size class; each class is twice the one before.
 SMALLEST = 1 << 16
 
@@ -98,21 +99,45 @@ def entries(length: int, gram: int):
 
 
 def window_hashes(length: int):
-    """Of entries with their texts, the hashes of all their strings."""
+    """Of entries with their texts, the hashes of all their strings and where these start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(4)
-            first, last = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            out = []
-            for k in range(batch.num_rows):
-                data = np.frombuffer(texts[k].as_buffer(), np.uint8)[first[k] : last[k] + length]
-                out.append(hashes_at(prefix_sums(data), np.arange(last[k] - first[k] + 1), length).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in (0, 1, 2)], pa.array(out, pa.list_(pa.int64()))], names=["d", "t", "a", "hashes"])
+            texts, first, last = batch.column(5), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            for i in range(0, batch.num_rows, 1000):
+                part = range(i, min(i + 1000, batch.num_rows))
+                out = []
+                for k in part:
+                    data = np.frombuffer((texts[k].as_py() or "").encode(), np.uint8)[first[k] : last[k] + length]
+                    out.append(hashes_at(prefix_sums(data), np.arange(last[k] - first[k] + 1), length))
+                own = np.repeat(np.array(part), [len(x) for x in out])
+                starts = np.concatenate([np.arange(first[k], last[k] + 1) for k in part])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), batch.column(0).take(pa.array(own)), batch.column(1).take(pa.array(own)), pa.array(starts.astype(np.int32))], names=["h", "d", "t", "s"])
 
     return run
 
 
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by h, those whose h another row has too. The last row waits for the next batch."""
+    held = None
+    matched = False  # the held row's h is also that of the row before it
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks().to_batches()[0]
+        h = rows.column(0).to_numpy()
+        same = h[1:] == h[:-1]
+        keep = np.zeros(len(h), bool)
+        keep[1:] = same
+        keep[0] = matched
+        matched = bool(keep[-1])
+        keep[:-1] |= same
+        held = rows.slice(len(h) - 1)
+        yield rows.slice(0, len(h) - 1).filter(pa.array(keep[:-1])).select(["d", "t", "s"])
+    if held is not None and matched:
+        yield held.select(["d", "t", "s"])
+
+
 def cleaned(length: int):
     """Texts less what their runs of repeated strings cover."""
 
@@ -147,35 +172,36 @@ class Index:
     def _write(self, df: DataFrame) -> tuple[int, str]:
         path = f"{self.folder}/{self.made}"
         self.made += 1
-        df.write.parquet(path)
-        return max(0, (self.spark.read.parquet(path).count() // SMALLEST).bit_length()), path
+        return max(0, (stored(df, path).count() // SMALLEST).bit_length()), path
 
     def add(self, docs: DataFrame) -> None:
         """docs: (d, t, text), d and t naming a document."""
-        made = docs.select("d", "t", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(entries(self.length, self.gram), "d long, t long, a int, b int, fp long, ctx long")
+        made = docs.select("d", "t", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(entries(self.length, self.gram), "d long, t int, a int, b int, fp long, ctx long")
         self.levels.append(self._write(made.sortWithinPartitions("fp", "ctx")))
         while len(self.levels) > 1 and self.levels[-1][0] >= self.levels[-2][0]:
             (_, x), (_, y) = self.levels.pop(), self.levels.pop()
-            # an entry's own hash deals it out too, so that a string that many documents hold is no single task's
+            # an entry's own place deals it out too, so that a string that many documents hold is no single task's
             both = self.spark.read.parquet(x, y).repartitionByRange("fp", "ctx", "d", "a")
             self.levels.append(self._write(both.sortWithinPartitions("fp", "ctx")))
+            discard(self.spark, x)
+            discard(self.spark, y)
 
     def entries(self) -> DataFrame:
         return self.spark.read.parquet(*[p for _, p in self.levels])
 
     def repeats(self, docs: DataFrame) -> DataFrame:
         """(d, t, a, b): runs of repeated strings, by their first and last start. docs must hold all documents of the index."""
-        kinds = cut(self.entries().groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d", "t", "a", "b")).alias("one")))
-        whole = self.entries().join(kinds.where("n > 1").select("fp", "ctx"), ["fp", "ctx"]).select("d", "t", "a", "b")
-        # anchors with several contexts, of which one at least is single
-        mixed_ = kinds.groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("fp")
-        part = cut(kinds.join(mixed_, "fp").select("one.*", "n"))
-        text = docs.select("d", "t", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data")).join(part.select("d", "t").distinct(), ["d", "t"]).dropDuplicates(["d", "t"])
-        each = part.join(text, ["d", "t"]).select("d", "t", "a", "b", "data").mapInArrow(window_hashes(self.length), "d long, t long, a int, hashes array<long>")
-        each = cut(each.select("d", "t", "a", F.posexplode("hashes").alias("x", "h")).select("d", "t", (F.col("a") + F.col("x")).alias("a"), "h"))
-        twice = each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
-        single = each.join(twice, "h").select("d", "t", "a", F.col("a").alias("b"))
-        return whole.unionByName(single)
+        of_fp = W.partitionBy("fp")
+        kinds = self.entries().groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"))
+        kinds = kinds.select("fp", "ctx", "n", F.count(F.lit(1)).over(of_fp).alias("kinds"), F.min("n").over(of_fp).alias("least"))
+        # anchors with several contexts, of which one at least is single, need a closer look
+        kinds = stored(kinds.select("fp", "ctx", (F.col("n") > 1).alias("whole"), ((F.col("kinds") > 1) & (F.col("least") == 1)).alias("part")).where("whole or part"))
+        found = stored(self.entries().join(kinds, ["fp", "ctx"]).select("d", "t", "a", "b", "fp", "ctx", "whole", "part"))
+        part = found.where("part").groupBy("fp", "ctx").agg(F.min(F.struct("d", "t", "a", "b")).alias("one")).select("one.*")
+        # the same columns of docs as in the removal, so that one exchange of the texts does for both
+        each = part.join(docs, ["d", "t"]).select("d", "t", "a", "b", "doc_id", "text").mapInArrow(window_hashes(self.length), "h long, d long, t int, s int")
+        single = each.repartition("h").sortWithinPartitions("h").mapInArrow(repeated, "d long, t int, s int")
+        return found.where("whole").select("d", "t", "a", "b").unionByName(single.select("d", "t", F.col("s").alias("a"), F.col("s").alias("b")))
 
 
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, batches: int = 1) -> DataFrame:
@@ -188,10 +214,10 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     many parts of df enter the index one after the other.
     """
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    docs = rows.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("d"), F.xxhash64(F.coalesce("text", F.lit("")), F.lit(1)).alias("t"), "doc_id", "text")
+    docs = rows.select(F.coalesce("doc_id", F.xxhash64("text", F.lit(1))).alias("d"), F.hash("text").alias("t"), "doc_id", "text")
     index = Index(df.sparkSession, length, gram)
     for k in range(batches):
-        index.add(docs if batches == 1 else docs.where(F.pmod("d", F.lit(batches)) == k))
+        index.add(docs if batches == 1 else docs.where(F.pmod(F.xxhash64("d", "t"), F.lit(batches)) == k))
     # many starts of a document at once: runs of them, by sorting within the document
     spans = index.repeats(docs).groupBy("d", "t").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return docs.join(spans, ["d", "t"], "left").select("doc_id", "text", "spans").mapInArrow(cleaned(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
