@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, table
+from .common import fresh, stored, table
 
 #: Sites that make a line boilerplate. Lines of more than MAX_WORDS words are passages, which other operators handle.
 MIN_SITES, MAX_WORDS, LG_K = 10, 50, 12
@@ -24,31 +24,39 @@ def trimmed(line: Column) -> Column:
     return F.trim(F.translate(line, "\t\r\x0b\x0c", "    "))
 
 
-def hashes(line: Column) -> Column:
-    """128 bits of a line without the white space around it; null for a blank line."""
-    t = trimmed(line)
-    return F.when(t != "", F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2")))
+def hashes(t: Column) -> Column:
+    """128 bits of a trimmed line."""
+    return F.struct(F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2"))
 
 
 def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def short(line: Column, max_words: int) -> Column:
-    return F.size(F.split(trimmed(line), " +")) <= max_words
+def short(t: Column, max_words: int) -> Column:
+    """Whether a trimmed line isn't blank and has at most max_words words. Only lines with runs of blanks need more than their number of blanks."""
+    blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
+    return (t != "") & F.when(blanks < max_words, True).when(F.instr(t, "  ") == 0, False).otherwise(F.size(F.split(t, " +")) <= max_words)
+
+
+def line_hashes(df: DataFrame, text: str, max_words: int, *keep: str) -> DataFrame:
+    """keep, h1, h2 of each line that is judged."""
+    t = trimmed(F.col("line"))
+    each = df.select(*keep, F.explode(lines_of(F.col(text))).alias("line")).where(short(t, max_words))
+    return each.select(*keep, F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2"))
 
 
 def boilerplate(df: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, max_words: int = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
     """(h1, h2) of the lines that at least min_sites sites have. A null site is none."""
-    seen = df.where(F.col(site).isNotNull()).select(F.col(site).cast("string").alias("site"), F.explode(F.filter(lines_of(F.col(text)), lambda x: short(x, max_words))).alias("line"))
-    seen = seen.select("site", hashes(F.col("line")).alias("h")).where("h is not null").select("site", "h.h1", "h.h2")
+    named = df.where(F.col(site).isNotNull()).select(F.col(site).cast("string").alias("site"), F.col(text).alias("said"))
+    seen = line_hashes(named, "said", max_words, "site")
     sketched = seen.groupBy(*LINE).agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites"))
     # five standard errors and one: outside, the estimate decides
     band = math.ceil(5 * 1.04 / math.sqrt(2**lg_k) * min_sites) + 1
-    sketched = cut(sketched.where(F.col("sites") >= min_sites - band))
+    sketched = stored(sketched.where(F.col("sites") >= min_sites - band))
     near = sketched.where(F.abs(F.col("sites") - min_sites) <= band)
     exact = seen.join(near.select(*LINE), LINE, "left_semi").distinct().groupBy(*LINE).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_sites)
-    return cut(sketched.where(F.col("sites") > min_sites + band).select(*LINE).unionByName(exact.select(*LINE)))
+    return stored(sketched.where(F.col("sites") > min_sites + band).select(*LINE).unionByName(exact.select(*LINE)))
 
 
 def remove_lines(df: DataFrame, bad: DataFrame, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
@@ -61,14 +69,14 @@ def remove_lines(df: DataFrame, bad: DataFrame, text: str = "text", max_words: i
     df = df.drop("n_lines", "n_removed")
     k1, k2, gone = fresh(df, "k1", "k2", "gone")
     df = df.withColumns({k1: F.xxhash64(F.coalesce(text, F.lit(""))), k2: F.xxhash64(F.coalesce(text, F.lit("")), F.lit(1))})
-    at = df.select(k1, k2, F.explode(F.filter(lines_of(F.col(text)), lambda x: short(x, max_words))).alias("line"))
-    at = at.select(k1, k2, hashes(F.col("line")).alias("h")).where("h is not null").select(k1, k2, "h.h1", "h.h2")
+    at = line_hashes(df.select(k1, k2, F.col(text).alias("said")), "said", max_words, k1, k2)
     found = at.join(bad, LINE).groupBy(k1, k2).agg(F.collect_set(F.struct("h1", "h2")).alias(gone))
     out = df.join(found, [k1, k2], "left")
-    lines = F.when(F.col(text).isNull(), F.array().cast("array<string>")).otherwise(lines_of(F.col(text)))
-    kept = F.when(F.col(gone).isNull(), lines).otherwise(F.filter(lines, lambda x: ~(F.coalesce(F.array_contains(F.col(gone), hashes(x)), F.lit(False)) & short(x, max_words))))
-    kept = F.when(F.exists(kept, lambda x: trimmed(x) != ""), kept).otherwise(lines)
-    out = out.withColumn("n_lines", F.size(lines)).withColumn(gone, F.when(F.col(gone).isNotNull(), kept))
+    lines = lines_of(F.col(text))
+    stays = lambda x: ~(F.array_contains(F.col(gone), hashes(trimmed(x))) & short(trimmed(x), max_words))
+    kept = F.transform(F.array(F.filter(lines, stays)), lambda k: F.when(F.exists(k, lambda x: trimmed(x) != ""), k).otherwise(lines))[0]
+    breaks = F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    out = out.withColumn("n_lines", F.coalesce(breaks + 1, F.lit(0)).cast("int")).withColumn(gone, F.when(F.col(gone).isNotNull(), kept))
     new = {"n_removed": F.coalesce(F.col("n_lines") - F.size(gone), F.lit(0)).cast("int"), text: F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(gone, "\n"))}
     return out.withColumns(new).drop(k1, k2, gone)
 
