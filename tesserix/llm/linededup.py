@@ -40,10 +40,12 @@ def short(t: Column, max_words: int) -> Column:
 
 
 def line_hashes(df: DataFrame, text: str, max_words: int, *keep: str) -> DataFrame:
-    """keep, h1, h2 of each line that is judged."""
-    t = trimmed(F.col("line"))
-    each = df.select(*keep, F.explode(lines_of(F.col(text))).alias("line")).where(short(t, max_words))
-    return each.select(*keep, F.xxhash64(t).alias("h1"), F.xxhash64(t, F.lit(1)).alias("h2"))
+    """keep, h1, h2 of each line that is judged. White space becomes blanks in the whole text at once, so that no line is rewritten by character."""
+    plain = F.coalesce(text, F.lit(""))
+    for c in "\t\r\x0b\x0c":
+        plain = F.replace(plain, F.lit(c), F.lit(" "))
+    each = df.select(*keep, F.explode(F.transform(F.split(plain, "\n", -1), lambda x: F.trim(x))).alias("line")).where(short(F.col("line"), max_words))
+    return each.select(*keep, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
 def boilerplate(df: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, max_words: int = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
