@@ -7,6 +7,7 @@ columns of documents. run() writes each stage's result and reads it again for th
 from __future__ import annotations
 
 import uuid
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from tesserix.llm import linededup, minhash, mixing, packing, toxicity
 from tesserix.llm.common import fresh, shared_dir, table, word_count
 
+#: Hundredths of similarity from which the pipeline takes documents for near copies. op6 has its own threshold.
+NEAR = 80
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,9 +32,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return out.select(*docs.columns)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    groups = minhash.components_of(docs.select("doc_id", "text"))
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, numer: int = 85) -> DataFrame:
+    """One document of each group of near copies, similar by numer hundredths or more: the one with the smallest id."""
+    groups = minhash.components_of(docs.select("doc_id", "text"), numer, 100)
     gone = groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
 
@@ -48,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, keep_ids=False).drop("ids")
 
 
-STAGES = [("toxicity", drop_toxic), ("line dedup", drop_boilerplate), ("MinHash near-dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("line dedup", drop_boilerplate), ("MinHash near-dedup", partial(drop_near_copies, numer=NEAR)), ("mixing", mix_sources), ("packing", pack)]
 
 #: Training, minima and packing aren't SQL; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 from .common import cut, table
 from .textkit import WORDS, flat, mixed, shingles, slices
 
-#: BANDS bands of ROWS minima: a pair at the threshold of 0.85 shares none with probability 1e-5.
-BANDS, ROWS = 20, 5
-N_HASHES = BANDS * ROWS
+#: Minima of a set, and the most that the probability may be that a pair at the threshold shares no band of them.
+N_HASHES, MISS = 100, 1e-5
 #: Standard errors below the threshold at which a pair's estimate rules it out.
 Z = 5.0
 #: Shingles in a block, and columns of an incidence matrix at once.
@@ -41,7 +40,12 @@ NO_ID = 1 << 62
 _rng = np.random.default_rng(20240229)
 _MULT = _rng.integers(1 << 62, 1 << 63, N_HASHES, dtype=np.uint64) | np.uint64(1)
 _PLUS = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64)
-_SALT = _rng.integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
+_SALT = _rng.integers(0, 1 << 63, N_HASHES, dtype=np.uint64) | np.uint64(1)
+
+
+def bands_for(threshold: float) -> int:
+    """The fewest bands into which the minima divide that keep to MISS: 20 (of 5) at 0.85, 25 (of 4) at 0.8. Very low thresholds have a band for each of the minima and may miss more."""
+    return next((b for b in range(1, N_HASHES + 1) if N_HASHES % b == 0 and (1 - threshold ** (N_HASHES // b)) ** b <= MISS), N_HASHES)
 
 
 def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -58,12 +62,13 @@ def signatures(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
-    return mixed((parts * _SALT).sum(axis=2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+def band_hashes(sig: np.ndarray, n_bands: int) -> np.ndarray:
+    shape = (n_bands, N_HASHES // n_bands)
+    parts = sig.reshape(len(sig), *shape).astype(np.uint64)
+    return mixed((parts * _SALT.reshape(shape)).sum(axis=2) + np.arange(n_bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
-def describe(words: int):
+def describe(words: int, n_bands: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = flat(batch.column(1))
@@ -78,7 +83,7 @@ def describe(words: int):
                 null = ~full
                 place = np.zeros(j - i + 1, np.int32)
                 np.cumsum(full, out=place[1:])
-                bands = pa.ListArray.from_arrays(pa.array(place * BANDS, pa.int32()), pa.array(band_hashes(sig).ravel()))
+                bands = pa.ListArray.from_arrays(pa.array(place * n_bands, pa.int32()), pa.array(band_hashes(sig, n_bands).ravel()))
                 blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((place * (N_HASHES * 4)).astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
                 keys = [pa.array(k.view(np.int64), mask=null) for k in (k1, k2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), *keys, blobs, bands], names=["doc_id", "th", "n_shingles", "k1", "k2", "sig", "bands"])
@@ -209,7 +214,7 @@ class Graph:
     def __init__(self, docs: DataFrame, numer: int, denom: int, words: int):
         self.docs, self.numer, self.denom, self.words = docs, numer, denom, words
         schema = "doc_id long, th long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
-        row = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(describe(words), schema)
+        row = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(describe(words, bands_for(numer / denom)), schema)
         node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 61)))
         self.rows = cut(row.withColumn("node", node))
         kinds = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("node", "th", "n_shingles", "sig", "bands")).alias("x"))

@@ -1,5 +1,7 @@
 """The pipeline's stages on small tables."""
 
+import random
+import re
 from collections import Counter
 
 import corpus_pipeline
@@ -7,6 +9,9 @@ from conftest import SMALL, folder
 
 from tesserix.llm import linededup, minhash, toxicity
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
 
 def test_run(spark, small):
     docs, sf = small, SMALL
@@ -35,3 +40,33 @@ def test_edge_rows(spark, edge, none, tmp_path):
     labels = spark.createDataFrame([(4, 0), (5, 0)], "doc_id long, toxic int")
     assert corpus_pipeline.run(spark, folder(spark, tmp_path, documents=edge, labels=labels)).count() > 0
     assert corpus_pipeline.run(spark, folder(spark, tmp_path / "none", documents=none, labels=labels)).count() == 0
+
+
+def test_near_copies_from_80_hundredths(spark, small):
+    """The stage against all pairs at 0.8, on documents and on pairs of every similarity about it."""
+    rng, rows = random.Random(8), [(r["doc_id"], r["text"]) for r in small.collect()]
+    for g in range(60):
+        words = [f"g{g}w{k}" for k in range(204)]
+        rows.append((10_000 + 2 * g, " ".join(words)))
+        for at in rng.sample(range(5, 199, 5), 2 + g % 5):
+            words[at] = f"n{g}_{at}"
+        rows.append((10_001 + 2 * g, " ".join(words)))
+    sets = [(d, frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))) for d, t in rows for w in [WORD.findall(t.translate(LOW))] if w]
+    top = {d: d for d, _ in rows}
+
+    def find(d):
+        while top[d] != d:
+            d = top[d]
+        return d
+
+    between = 0
+    for i, (a, x) in enumerate(sets):
+        for b, y in sets[:i]:
+            if 100 * len(x & y) >= 80 * len(x | y):
+                between += 100 * len(x & y) < 85 * len(x | y)
+                low, high = sorted((find(a), find(b)))
+                top[high] = low
+    df = spark.createDataFrame([(d, t, "en", "a", 1) for d, t in rows], small.schema)
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    assert between > 10
+    assert sorted(r["doc_id"] for r in stage(spark, df, SMALL).collect()) == sorted(d for d in top if find(d) == d)
