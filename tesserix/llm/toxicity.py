@@ -2,7 +2,9 @@
 
 The lexicon comes from labelled documents: words and word beginnings that toxic documents have
 far more often than others. Its words go into a trie, on which a Levenshtein automaton of one
-edit runs, determinized as it is used; beginnings (stems of a language's words) match exactly.
+edit runs, determinized as it is used; beginnings (stems of a language's words) match exactly. A
+word stays in the lexicon beside its own stems, so that its misspellings are found; a form that
+other documents have as a word of theirs is none.
 A document's hits are told apart by exact word, stem and misspelling, and by their context
 windows: a hit in a quotation weighs for itself, and hits that stand close together weigh more.
 A logistic model of these features gives the score.
@@ -44,7 +46,8 @@ class Automaton:
 
     def __init__(self, words: list[str], stems: list[str]):
         self.next: list[dict[str, int]] = [{}]
-        self.end: dict[int, str] = {}
+        self.words: set[int] = set()
+        self.stems: set[int] = set()
         self.fuzzy: set[int] = set()
         for term, kind in [(w, "word") for w in words] + [(s, "stem") for s in stems]:
             at, path = 0, [0]
@@ -54,8 +57,7 @@ class Automaton:
                     self.next.append({})
                 at = self.next[at][c]
                 path.append(at)
-            if self.end.get(at) != "stem":
-                self.end[at] = kind
+            (self.words if kind == "word" else self.stems).add(at)
             if kind == "word" and len(term) >= FUZZY:
                 self.fuzzy.update(path)
         self.numbers: dict[frozenset, int] = {}
@@ -77,8 +79,9 @@ class Automaton:
     def _step(self, state: int, c: str) -> int:
         new = set()
         for at, e in self.sets[state]:
-            if at < 0 or self.end.get(at) == "stem" and e == 0:
+            if at < 0 or at in self.stems and e == 0:
                 new.add((-1, 0))  # a stem has been read: anything may follow
+            if at < 0:
                 continue
             if c in self.next[at] and (e == 0 or self.next[at][c] in self.fuzzy):
                 new.add((self.next[at][c], e))
@@ -98,11 +101,11 @@ class Automaton:
                 return 0
         best = 0
         for at, e in self.sets[state]:
-            if at < 0 or self.end.get(at) == "stem" and e == 0:
-                best = best if best == 1 else 2
-            elif self.end.get(at) == "word":
-                if e == 0:
-                    return 1
+            if at in self.words and e == 0:
+                return 1
+            if at < 0 or at in self.stems and e == 0:
+                best = 2
+            elif at in self.words:
                 best = best or 3
         return best
 
@@ -113,6 +116,7 @@ class Model:
     stems: list[str]
     weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     bias: float = 0.0
+    ordinary: frozenset[str] = frozenset()
 
 
 def terms_of(text: str) -> set[str]:
@@ -140,18 +144,43 @@ def count_terms(only: frozenset | None):
     return run
 
 
+def count_misspelt(model: Model):
+    """(term, toxic, clean): documents with each form that the automaton takes for a misspelling."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match, known = Automaton(model.words, model.stems).match, {}
+        for batch in batches:
+            count: dict[str, list[int]] = {}
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for t in set(TOKEN.findall(text.lower())):
+                    if (k := known.get(t)) is None:
+                        k = known[t] = match(t)
+                    if k == 3:
+                        count.setdefault(t, [0, 0])[y <= 0] += 1
+            if len(known) > 200_000:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), *[pa.array([n[i] for n in count.values()], pa.int64()) for i in (0, 1)]], names=["term", "toxic", "clean"])
+
+    return run
+
+
+def telling(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    return (toxic + 0.5) / (n_toxic + 1) >= RATIO * (clean + 0.5) / (n_clean + 1)
+
+
 def choose(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int) -> Model:
-    """Of the terms that are far more frequent in toxic documents, the longest with the same documents, and nothing that begins with another."""
-    good = {t: n for t, n in toxic.items() if (n + 0.5) / (n_toxic + 1) >= RATIO * (clean.get(t, 0) + 0.5) / (n_clean + 1)}
+    """Of the terms that are far more frequent in toxic documents, all words, and the longest stems with the same documents, none of which begins with another."""
+    good = {t: n for t, n in toxic.items() if telling(n, clean.get(t, 0), n_toxic, n_clean)}
     longer = {t[:-1]: n for t, n in sorted(good.items(), key=lambda x: x[1])}
     good = {t: n for t, n in good.items() if t.endswith("$") or longer.get(t, 0) < 0.9 * n}
     kept: list[str] = []
     stems: set[str] = set()
     for t in sorted(good, key=lambda t: (len(t), t)):
-        if not any(t[:k] in stems for k in range(min(STEMS), len(t))):
+        if t.endswith("$"):
+            kept.append(t)
+        elif not any(t[:k] in stems for k in range(min(STEMS), len(t))):
             kept.append(t)
-            if not t.endswith("$"):
-                stems.add(t)
+            stems.add(t)
     return Model(sorted(t[:-1] for t in kept if t.endswith("$")), sorted(stems))
 
 
@@ -170,7 +199,8 @@ class Reader:
         for t in set(tokens):
             k = known.get(t)
             if k is None:
-                k = known[t] = match(t)
+                k = match(t)
+                k = known[t] = 0 if k == 3 and t in self.model.ordinary else k
             any_ = any_ or k > 0
         if not any_:
             return [0.0] * FEATURES
@@ -238,6 +268,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic = {r["term"]: r["n"] for r in counted.collect()}
     counted = rows.where("y = 0").select("text").mapInArrow(count_terms(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     model = choose(toxic, {r["term"]: r["n"] for r in counted.collect()}, n_toxic, n_clean)
+    # a form in a single clean document is like one never seen: it stays a misspelling, so that the weights hold for unseen texts
+    forms = rows.mapInArrow(count_misspelt(model), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("clean > 1")
+    model.ordinary = frozenset(r["term"] for r in forms.collect() if not telling(r["toxic"], r["clean"], n_toxic, n_clean))
     got = rows.mapInArrow(featured(model), "x array<double>, y int").collect()
     w, b = logistic(np.array([r["x"] for r in got]), np.array([float(r["y"] > 0) for r in got]))
     model.weights, model.bias = w.tolist(), b

@@ -67,3 +67,43 @@ def test_scores_follow_texts_alone(spark):
     df = spark.createDataFrame([(1, "a scum b", "x"), (2, "a scum b", "y"), (3, None, "z"), (4, "", "q")], "score long, text string, hits string")
     got = [r["score"] for r in toxicity.score(df, toxicity.Model(["scum"], [], [1.0] * toxicity.FEATURES, -1.0)).collect()]
     assert got[0] == got[1] > got[2] == got[3]
+
+
+def test_words_beside_their_stems():
+    auto = toxicity.Automaton(["disgusting", "trash"], ["disgusti", "trash"])
+    assert [auto.match(t) for t in ("disgusting", "disgustingly", "disgxsting", "disgstingg", "trash", "trashy", "trxsh", "tras", "tra")] == [1, 2, 3, 0, 1, 2, 3, 3, 0]
+
+
+def test_misspelt_words_count(spark):
+    """Toxic rows of which a part has nothing but one-edit variants, none of them often enough to be learned."""
+    rng, bad = random.Random(2), ["disgusting", "worthless", "pathetic", "idiots", "clown", "trash", "moron", "loser"]
+    plain = [f"{a}{b}{c}" for a in ("bar", "len", "mos", "tir") for b in ("an", "el", "io", "ur") for c in ("do", "ka", "pem", "va")]
+
+    def variant(w):
+        at = rng.randrange(1, 4)
+        return w[:at] + rng.choice("qxz") + w[at + rng.randrange(2) :]
+
+    def text(kind):
+        words = rng.choices(plain, k=30)
+        for at in rng.sample(range(30), 3) if kind else []:
+            words[at] = rng.choice(bad) if kind == "toxic" else variant(rng.choice(bad))
+        return " ".join(words)
+
+    kinds = ["toxic", "misspelt", "", "", "", ""] * 100
+    rows = [(i, text(k), int(bool(k)), i >= 400, k) for i, k in enumerate(kinds)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, unseen boolean, kind string")
+    model = toxicity.fit(df, df.where("not unseen").select("doc_id", "toxic"))
+    assert set(bad) <= set(model.words)
+    assert not model.ordinary & set(bad)
+    got = toxicity.score(df.where("unseen"), model).collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == (r["toxic"] > 0) for r in got)
+    assert all(r["hits"][2] > 0 for r in got if r["kind"] == "misspelt")
+
+
+def test_ordinary_words_are_no_misspellings(spark):
+    rows = [(i, f"you are trash {i}" if i % 3 == 0 else f"the crash of {i}", int(i % 3 == 0)) for i in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df.select("doc_id", "toxic"))
+    assert "trash" in model.words and "crash" in model.ordinary
+    read = toxicity.Reader(model).features
+    assert read("a crash")[2] == 0 and read("a trxsh")[2] > 0
