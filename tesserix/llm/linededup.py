@@ -33,13 +33,15 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def short(t: Column, max_words: int) -> Column:
-    """Whether a trimmed line isn't blank and has at most max_words words. Only lines with runs of blanks need more than their number of blanks."""
+def short(t: Column, max_words: int | None) -> Column:
+    """Whether a trimmed line isn't blank and has at most max_words words (None: any number). Only lines with runs of blanks need more than their number of blanks."""
+    if max_words is None:
+        return t != ""
     blanks = F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))
     return (t != "") & F.when(blanks < max_words, True).when(F.instr(t, "  ") == 0, False).otherwise(F.size(F.split(t, " +")) <= max_words)
 
 
-def line_hashes(df: DataFrame, text: str, max_words: int, *keep: str) -> DataFrame:
+def line_hashes(df: DataFrame, text: str, max_words: int | None, *keep: str) -> DataFrame:
     """keep, h1, h2 of each line that is judged. White space becomes blanks in the whole text at once, so that no line is rewritten by character."""
     plain = F.coalesce(text, F.lit(""))
     for c in "\t\r\x0b\x0c":
@@ -48,7 +50,7 @@ def line_hashes(df: DataFrame, text: str, max_words: int, *keep: str) -> DataFra
     return each.select(*keep, F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def boilerplate(df: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, max_words: int = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(df: DataFrame, text: str, site: str, min_sites: int = MIN_SITES, max_words: int | None = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
     """(h1, h2) of the lines that at least min_sites sites have. A null site is none."""
     named = df.where(F.col(site).isNotNull()).select(F.col(site).cast("string").alias("site"), F.col(text).alias("said"))
     seen = line_hashes(named, "said", max_words, "site")
@@ -61,7 +63,7 @@ def boilerplate(df: DataFrame, text: str, site: str, min_sites: int = MIN_SITES,
     return stored(sketched.where(F.col("sites") > min_sites + band).select(*LINE).unionByName(exact.select(*LINE)))
 
 
-def remove_lines(df: DataFrame, bad: DataFrame, text: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
+def remove_lines(df: DataFrame, bad: DataFrame, text: str = "text", max_words: int | None = MAX_WORDS) -> DataFrame:
     """df with text less the lines in bad, n_lines and n_removed.
 
     A document all of whose lines that are not blank would go stays as it is: a copied document
@@ -83,7 +85,7 @@ def remove_lines(df: DataFrame, bad: DataFrame, text: str = "text", max_words: i
     return out.withColumns(new).drop(k1, k2, gone)
 
 
-def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, max_words: int = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
+def dedup_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, max_words: int | None = MAX_WORDS, lg_k: int = LG_K) -> DataFrame:
     return remove_lines(df, boilerplate(df, text, site, min_sites, max_words, lg_k), text, max_words)
 
 

@@ -70,3 +70,15 @@ def test_near_copies_from_80_hundredths(spark, small):
     stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
     assert between > 10
     assert sorted(r["doc_id"] for r in stage(spark, df, SMALL).collect()) == sorted(d for d in top if find(d) == d)
+
+
+def test_repeated_passages_of_any_length(spark, small):
+    """Lines of 40 to 200 words on 12 sources go, those on 9 stay."""
+    rows = []
+    for n in (40, 50, 51, 60, 200):
+        for i in range(12):
+            often, rare = " ".join([f"p{n}"] * n), " ".join([f"r{n}"] * n)
+            rows.append((n * 100 + i, f"{often}\n{rare if i < 9 else 'x'}\nown {n} {i}", "en", f"s{i}", 1))
+    df = spark.createDataFrame(rows, small.schema)
+    got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, df, SMALL).collect()}
+    assert got == {d: "\n".join(t.split("\n")[1:]) for d, t, *_ in rows}
