@@ -4,8 +4,11 @@ Every block of vectors has, for each of PROJECTIONS random directions, its vecto
 of their projections. A query looks at windows around its own projection; where too few vectors
 collide with it in enough windows, virtual rehashing widens the windows (WINDOWS gives the shares
 of a block that they hold). Vectors whose collisions reach the threshold are verified by their
-exact inner product. Inner products are searched as distances: all vectors are scaled by the
-largest norm and get one more coordinate that puts them on the sphere.
+exact inner product. Inner products are searched as distances: a block's vectors are grouped by
+norm, and each group's are scaled by its largest norm and get one more coordinate that puts them
+on the sphere. Queries are scaled to length one, which leaves their rankings as they are. Groups
+are searched from the longest vectors on; a group whose largest norm can't reach a query's k-th
+best score so far is left out for that query.
 
 Blocks of queries meet blocks of vectors, so that no task holds more than one of each; a block's
 best k go on to a merge by query.
@@ -32,6 +35,8 @@ OFTEN = 0.42
 WANTED, SHARE = 20, 0.3
 #: Rows of a block of vectors, and of one of queries.
 VECTORS, QUERIES = 16_384, 2_048
+#: The longest vector of a group is at most so many times as long as its shortest.
+SPREAD = 2.0
 
 
 class Block:
@@ -77,6 +82,23 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def _lengths(x: np.ndarray) -> np.ndarray:
+    """Norms, of very large and very small components too."""
+    most = np.abs(x).max(axis=1)
+    return most * np.sqrt(((x / most[:, None]) ** 2).sum(axis=1))
+
+
+def _by_norm(norms: np.ndarray) -> list[np.ndarray]:
+    """Places of the vectors by groups of similar norms, the longest first."""
+    order = np.argsort(-norms, kind="stable")
+    out = []
+    while len(order):
+        n = int(np.searchsorted(-norms[order], -norms[order[0]] / SPREAD, "right"))
+        out.append(np.sort(order[:n]))
+        order = order[n:]
+    return out
+
+
 def _sphere(x: np.ndarray, top: float) -> np.ndarray:
     x = x / top
     return np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))))
@@ -88,13 +110,26 @@ def search_block(k: int, wanted: int):
         if left.num_rows and right.num_rows:
             right = right.sort_by("id")
             ids, vectors, qids, queries = right.column("id").to_numpy(), _matrix(right.column("v")), left.column("id").to_numpy(), _matrix(left.column("v"))
-            block = Block(_sphere(vectors, right.column("top")[0].as_py()))
-            flat = np.column_stack((queries, np.zeros(len(queries))))
-            for q, found in enumerate(block.candidates(flat, wanted)):
-                found = found[ids[found] != qids[q]]
-                score = vectors[found] @ queries[q]
-                best = np.lexsort((ids[found], -score))[:k]
-                out += [(int(qids[q]), int(ids[found[b]]), float(score[b])) for b in best]
+            norms, lengths = _lengths(vectors), _lengths(queries)
+            flat = np.column_stack((queries / lengths[:, None], np.zeros(len(queries))))
+            none = np.zeros(0, np.int64)
+            bests, least = [(none, np.zeros(0))] * len(queries), np.full(len(queries), -np.inf)
+            for group in _by_norm(norms):
+                top = norms[group].max()
+                asked = np.flatnonzero(least <= lengths * top * (1 + 1e-9))
+                if not len(asked):
+                    break
+                block = Block(_sphere(vectors[group], top))
+                for q, found in zip(asked.tolist(), block.candidates(flat[asked], wanted), strict=True):
+                    found = group[found]
+                    found = found[ids[found] != qids[q]]
+                    found, score = np.concatenate((bests[q][0], found)), np.concatenate((bests[q][1], vectors[found] @ queries[q]))
+                    best = np.lexsort((ids[found], -score))[:k]
+                    bests[q] = found[best], score[best]
+                    if len(best) == k:
+                        least[q] = score[best[-1]]
+            for q, (found, score) in enumerate(bests):
+                out += [(int(qids[q]), int(ids[f]), float(x)) for f, x in zip(found, score, strict=True)]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     return run
@@ -115,13 +150,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int)
         return x.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & ok)
 
     rows, asked = cut(sound(df)), cut(sound(queries))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c))
-    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(norm).alias("top")).orderBy(F.desc("n"), "d").first()
-    n, dims, top = (sizes["n"], sizes["d"], sizes["top"]) if sizes else (0, 0, 1.0)
+    sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
+    n, dims = (sizes["n"], sizes["d"]) if sizes else (0, 0)
     rows, asked = rows.where(F.size("v") == dims), asked.where(F.size("v") == dims)
     nv, nq = max(1, -(-n // VECTORS)), max(1, -(-asked.count() // QUERIES))
     blocks = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq)).withColumn("top", F.lit(float(top)))
+    right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq))
     left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
     found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search_block(k, WANTED * k), "query_id long, vec_id long, score double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

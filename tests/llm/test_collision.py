@@ -1,6 +1,8 @@
 """Nearest neighbours: exact scores, order and recall against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from conftest import SMALL, folder
 
 from tesserix.llm import collision
@@ -52,3 +54,28 @@ def test_edge_rows(spark, tmp_path):
     df = spark.createDataFrame(rows, SCHEMA)
     check(collision.op9_ann(spark, folder(spark, tmp_path, embeddings=df)).collect(), df.collect(), 1.0)
     assert collision.op9_ann(spark, folder(spark, tmp_path / "none", embeddings=df.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("kind", ["unit", "small", "large", "clustered", "outlier", "skewed"])
+def test_recall_at_any_norm(kind):
+    """Whole blocks: scaled, clustered and skewed norms, and one vector much longer than the rest."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((collision.VECTORS, 64))
+    if kind == "clustered":
+        x = rng.standard_normal((200, 64))[rng.integers(0, 200, len(x))] + 0.5 * x
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x *= {"small": 0.1, "large": 30.0, "clustered": 0.1}.get(kind, 1.0)
+    if kind == "outlier":
+        x[5] *= 10
+    if kind == "skewed":
+        x *= rng.lognormal(0, 0.7, len(x))[:, None]
+    ids, asked = np.arange(len(x)), np.arange(0, len(x), len(x) // 60)
+    side = lambda at: pa.table({"id": ids[at], "v": pa.array(list(x[at]), pa.list_(pa.float64())), "top": np.full(len(at), np.linalg.norm(x, axis=1).max())})
+    got = collision.search_block(20, collision.WANTED * 20)(side(asked), side(ids)).to_pylist()
+    hits = 0
+    for q in asked.tolist():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & {r["vec_id"] for r in got if r["query_id"] == q})
+    print(kind, hits / (20 * len(asked)))
+    assert hits >= 0.9 * 20 * len(asked)
