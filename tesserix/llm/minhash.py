@@ -165,9 +165,6 @@ def block_links(numer: int, denom: int, words: int):
             m = np.zeros((len(parts), COLUMNS), np.float32)
             m[owner[lo:hi], column[lo:hi] - start] = 1
             both += m[x] @ m[y].T
-        both = both.astype(np.int64)
-        ok = denom * both >= numer * (sizes[x][:, None] + sizes[y][None, :] - both)
-        ok &= root[x][:, None] != root[y][None, :]
         top = {r: r for r in root.tolist()}
 
         def find(r: int) -> int:
@@ -176,12 +173,15 @@ def block_links(numer: int, denom: int, words: int):
             return r
 
         out = []
-        for p, q in np.argwhere(ok).tolist():
-            a, b = x[p], y[q]
-            ra, rb = find(int(root[a])), find(int(root[b]))
-            if ra != rb:
-                top[max(ra, rb)] = min(ra, rb)
-                out.append((int(node[a]), int(node[b])))
+        # row by row, and one link to a component: where most pairs are links, their list would take far more room than the matrix
+        for a, row in zip(x.tolist(), both, strict=True):
+            shared_ = row.astype(np.int64)
+            linked = y[(denom * shared_ >= numer * (sizes[a] + sizes[y] - shared_)) & (root[y] != root[a])]
+            for b in linked[np.unique(root[linked], return_index=True)[1]].tolist():
+                ra, rb = find(int(root[a])), find(int(root[b]))
+                if ra != rb:
+                    top[max(ra, rb)] = min(ra, rb)
+                    out.append((int(node[a]), int(node[b])))
         return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
 
     return run
