@@ -110,6 +110,17 @@ def _(spark, d):
     return relational.reliable(ratings(spark, d), 1000, 30, 30).select("userId", "movieId", "rating", "rating_year")
 
 
+@query("flt8_active_users_10", f"{R} SELECT * FROM ratings WHERE userId IN (SELECT userId FROM ratings GROUP BY 1 HAVING count(*) >= 10)")
+def _(spark, d):
+    return relational.at_least(ratings(spark, d), "userId", 10)
+
+
+@query("flt9_reliable_ratings_5000", f"""{R}, early AS (SELECT * FROM ratings WHERE userId IN (SELECT DISTINCT userId FROM ratings ORDER BY 1 LIMIT 5000))
+SELECT * FROM early WHERE movieId IN (SELECT movieId FROM early GROUP BY 1 HAVING count(*) >= 5) AND userId IN (SELECT userId FROM early GROUP BY 1 HAVING count(*) >= 10)""")
+def _(spark, d):
+    return relational.reliable(ratings(spark, d)).select("userId", "movieId", "rating", "rating_year")
+
+
 @query("flt11_liked", f"{R} SELECT * FROM ratings WHERE rating >= 3.5")
 def _(spark, d):
     return ratings(spark, d).where(F.col("rating") >= relational.LIKED)
