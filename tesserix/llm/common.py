@@ -39,6 +39,7 @@ def cut(df: DataFrame) -> DataFrame:
     folder = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
+        forget_later(spark, spark.sparkContext._jsc.sc().getCheckpointDir().get())
     return df.checkpoint(eager=True)
 
 
@@ -46,9 +47,16 @@ def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: what cut() does, in less space."""
     path = path or f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    forget_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget_later(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends: results are lazy, so until then it may be read."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a folder that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -79,15 +79,28 @@ def first_bytes(offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+    """Hashes of spans that come in order and don't overlap, by parts of about SLICE bytes, so that long texts need no long tables."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, "right")))
+        lo, hi = int(starts[i]), int(ends[j - 1])
+        if hi - lo > SLICE:  # a span longer than a part: the hashes of its parts, one after the other
+            h = np.zeros(1, np.uint64)
+            for c in range(lo, hi, SLICE):
+                h = mixed(h * BASE + _hashed(data[c : min(hi, c + SLICE)], np.array([0]), np.array([min(hi, c + SLICE) - c])))
+            out[i] = h[0]
+        else:
+            out[i:j] = _hashed(data[lo:hi], starts[i:j] - lo, ends[i:j] - lo)
+        i = j
+    return out
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     up, down = powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    out = total[ends] - total[starts]
-    del total
-    out *= down[starts]
-    return mixed(out + (ends - starts).astype(np.uint64))
+    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
