@@ -32,7 +32,7 @@ from .common import discard, forget_later, shared_dir, stored, table
 from .textkit import SLICE, flat, mixed, powers, slices
 
 #: Bytes of a string that is removed where it repeats, of an anchor's string, and of a passage that is reported.
-LENGTH, GRAM, PASSAGE = 400, 96, 256
+LENGTH, GRAM, PASSAGE = 400, 72, 272
 #: First bytes of a suffix that order it before its hash does.
 HEAD = 3
 #: Batches in which the query's documents enter the index.
@@ -40,7 +40,7 @@ BATCHES = 2
 #: A batch of up to this many entries is of the lowest size class; each class is twice the one before.
 SMALLEST = 1 << 16
 #: Contexts of one anchor string that are compared in one place; more of them meet by hash.
-GROUP = 256
+GROUP = 8192
 
 
 def prefix_sums(data: np.ndarray) -> np.ndarray:
@@ -299,7 +299,8 @@ class Index:
 
     def repeats(self, docs: DataFrame) -> DataFrame:
         """(d, t, a, b, cross): runs of repeated strings, by their first and last start, and whether another document has the passages there (b < a: only that). docs must hold all documents of the index."""
-        marks = self.spark.read.parquet(*self.scans).groupBy("fp").agg(F.max("part").alias("part"))
+        # written, as sizes below, so that Spark can split the rows of a common fp in the join
+        marks = stored(self.spark.read.parquet(*self.scans).groupBy("fp").agg(F.max("part").alias("part")))
         found = stored(self.entries().join(marks, "fp"))
         place = F.struct("d", "t", "a", "b")
         kinds = found.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.first("part").alias("part"), F.min(place).alias("one"))
@@ -308,6 +309,7 @@ class Index:
         out = found.join(whole, ["fp", "ctx"]).select("d", "t", "a", "b", "cross")
         # anchors with several contexts, of which one at least is single, need a closer look
         sizes = kinds.where("part").groupBy("fp").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("fp", "kinds")
+        sizes = stored(sizes)
         near = kinds.where("part").join(sizes, "fp")
 
         def with_bytes(some: DataFrame) -> DataFrame:
@@ -320,7 +322,7 @@ class Index:
         out = out.unionByName(few.mapInArrow(side_by_side(self.length, self.passage), "d long, t int, a int, b int, cross boolean"))
         many = near.where(F.col("kinds") > GROUP)
         if not many.isEmpty():
-            each = stored(with_bytes(many).mapInArrow(by_hash(self.length, self.passage), "h long, long boolean, d long, t int, s int"))
+            each = with_bytes(many).mapInArrow(by_hash(self.length, self.passage), "h long, long boolean, d long, t int, s int")
             again = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi")).where("n > 1")
             hit = each.join(again, "h").where(F.col("long") | (F.col("lo") != F.col("hi")))
             last = F.when(F.col("long"), F.col("s")).otherwise(F.col("s") - 1)

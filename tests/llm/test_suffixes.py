@@ -52,7 +52,7 @@ def test_large_groups_meet_by_hash(edge, small, monkeypatch):
     assert result(small) == brute(small.collect(), 400)
 
 
-@pytest.mark.parametrize("group", [256, 1])
+@pytest.mark.parametrize("group", [8192, 1])
 def test_shared_passages(spark, small, group, monkeypatch):
     """Those of named documents, also where a passage is too short to be removed."""
     monkeypatch.setattr(suffixes, "GROUP", group)
@@ -62,7 +62,7 @@ def test_shared_passages(spark, small, group, monkeypatch):
     made = spark.createDataFrame(rows, "doc_id long, text string")
     for df in (made, small.select("doc_id", "text")):
         got = {r["doc_id"] for r in suffixes.remove_repeats(df).where("shares_passage").collect()}
-        assert got == sharing(df.collect(), 256)
+        assert got == sharing(df.collect(), suffixes.PASSAGE)
     assert got
 
 
@@ -85,7 +85,7 @@ def test_order_of_an_array(spark, small):
 
     for (text,) in small.select("text").limit(20).collect():
         data = np.frombuffer((text or "").encode(), np.uint8)
-        _, _, _, fp, _ = suffixes.anchors(data, np.array([0, len(data)]), 400, 96, 256)
+        _, _, _, fp, _ = suffixes.anchors(data, np.array([0, len(data)]), 400, suffixes.GRAM, suffixes.PASSAGE)
         heads = ((fp.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(40)).tolist()
         order = np.argsort(fp.view(np.int64)).tolist()
         assert [heads[i] for i in order] == sorted(heads)
