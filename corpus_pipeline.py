@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.llm import linededup, minhash, mixing, packing, toxicity
-from tesserix.llm.common import fresh, shared_dir, table, word_count
+from tesserix.llm.common import WORD, fresh, shared_dir, table, word_count
 
 #: Hundredths of similarity from which the pipeline takes documents for near copies. op6 has its own threshold.
 NEAR = 80
@@ -28,15 +28,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines, of any length, that many sources have; n_chars follows."""
-    out = linededup.dedup_lines(docs, max_words=None).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    out = linededup.dedup_lines(docs).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, numer: int = 85) -> DataFrame:
-    """One document of each group of near copies, similar by numer hundredths or more: the one with the smallest id."""
-    groups = minhash.components_of(docs.select("doc_id", "text"), numer, 100)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti").select(*docs.columns)
+    """One document of each group of near copies, similar by numer hundredths or more: the one with the smallest id.
+
+    Documents without an id come after all others, in the order of a hash of their texts; of those
+    with one text, one stays. Rows that share an id are one document's and stay or go together.
+    """
+    key, own = fresh(docs, "key", "gone")
+    rows = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(1 << 60) + F.pmod(F.xxhash64("text"), F.lit(1 << 60))))
+    groups = minhash.components_of(rows.select(F.col(key).alias("doc_id"), "text"), numer, 100)
+    gone = groups.where("not kept").select(F.col("doc_id").alias(own)).distinct()
+    left = lambda some: rows.where(some).join(gone, F.col(key) == F.col(own), "left_anti")
+    unnamed, words = F.col("doc_id").isNull(), F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return left(~unnamed).unionByName(left(unnamed & words).dropDuplicates([key])).unionByName(left(unnamed & ~words)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
