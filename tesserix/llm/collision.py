@@ -1,14 +1,16 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
 Every block of vectors has, for each of PROJECTIONS random directions, its vectors in the order
-of their projections. A query looks at windows around its own projection; where too few vectors
-collide with it in enough windows, virtual rehashing widens the windows (WINDOWS gives the shares
-of a block that they hold). Vectors whose collisions reach the threshold are verified by their
-exact inner product. Inner products are searched as distances: a block's vectors are grouped by
-norm, and each group's are scaled by its largest norm and get one more coordinate that puts them
-on the sphere. Queries are scaled to length one, which leaves their rankings as they are. Groups
-are searched from the longest vectors on; a group whose largest norm can't reach a query's k-th
-best score so far is left out for that query.
+of their projections. A query first looks at narrow windows around its own projection in a few of
+these orders; the vectors that collide with it most often are verified, which gives a radius within
+which its k nearest lie. Virtual rehashing then widens the windows of all orders to that radius: a
+vector so near collides in a known share of the orders, so vectors whose collisions reach that share
+less Z standard deviations are verified by their exact inner product, however many there are, and
+of those below it a share of at most Z's tail is lost. Inner products are searched as distances: a
+block's vectors are grouped by norm, and each group's are scaled by its largest norm and get one more
+coordinate that puts them on the sphere. Queries are scaled to length one, which leaves their
+rankings as they are. Groups are searched from the longest vectors on; a group whose largest norm
+can't reach a query's k-th best score so far is left out for that query.
 
 Blocks of queries meet blocks of vectors, so that no task holds more than one of each; a block's
 best k go on to a merge by query.
@@ -16,6 +18,8 @@ best k go on to a merge by query.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -24,15 +28,13 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-PROJECTIONS, SEED = 64, 7
-#: Shares of a block that a window holds, one after the other.
-WINDOWS = (0.4, 0.7, 1.0)
-#: The collision threshold, as a share of the projections.
-OFTEN = 0.42
-#: Candidates that end the widening: this many for each neighbour asked for, and this share of a
-#: block. Where vectors have no clusters, neighbours are hardly nearer than others: on such data
-#: the share gives a recall of 0.95.
-WANTED, SHARE = 20, 0.3
+PROJECTIONS, SEED = 128, 7
+#: The first look: so many orders, windows of this share of a block, and candidates for each neighbour asked for.
+FIRST, NARROW, WANTED = 16, 0.125, 4
+#: Standard deviations below the expected collisions of a vector at the radius that are still verified.
+Z = 2.0
+#: The share of orders in which a vector at the radius falls into a window as wide: a normal variable within one deviation.
+WITHIN = math.erf(math.sqrt(0.5))
 #: Rows of a block of vectors, and of one of queries.
 VECTORS, QUERIES = 16_384, 2_048
 #: The longest vector of a group is at most so many times as long as its shortest.
@@ -44,37 +46,50 @@ class Block:
 
     def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.vectors = vectors
         self.lines = rng.standard_normal((vectors.shape[1], projections))
         self.values = (vectors @ self.lines).T.copy()
         self.order = np.argsort(self.values, axis=1, kind="stable").astype(np.int32)
         self.values = np.take_along_axis(self.values, self.order, axis=1)
+        self.n = len(vectors)
+
+    def _count(self, begin: list[int], end: list[int]) -> np.ndarray:
+        return np.bincount(np.concatenate([o[b:e] for o, b, e in zip(self.order, begin, end, strict=False)]), minlength=self.n)
+
+    def first(self, at: np.ndarray, wanted: int) -> np.ndarray:
+        """The wanted vectors that collide most often in narrow windows of the first orders. at: the query's projections."""
+        if self.n <= wanted:
+            return np.arange(self.n)
+        size = max(wanted, round(NARROW * self.n))
+        mid = [int(np.searchsorted(v, x)) for v, x in zip(self.values[:FIRST], at[:FIRST], strict=True)]
+        begin = [min(max(0, m - size // 2), max(0, self.n - size)) for m in mid]
+        count = self._count(begin, [b + size for b in begin])
+        return np.argpartition(-count, wanted - 1)[:wanted]
+
+    def within(self, at: np.ndarray, radius: float) -> np.ndarray:
+        """The vectors whose collisions, in windows as wide as the radius, don't rule out that they are within it."""
+        begin = [int(np.searchsorted(v, x - radius, "left")) for v, x in zip(self.values, at, strict=True)]
+        end = [int(np.searchsorted(v, x + radius, "right")) for v, x in zip(self.values, at, strict=True)]
+        m = len(self.order)
+        return np.flatnonzero(self._count(begin, end) >= m * WITHIN - Z * math.sqrt(m * WITHIN * (1 - WITHIN)))
+
+
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products, added up component by component: equal vectors have equal scores wherever they stand."""
+    out = np.zeros(len(vectors))
+    for column, c in zip(vectors.T, query.tolist(), strict=True):
+        out += column * c
+    return out
+
 
-    def candidates(self, queries: np.ndarray, wanted: int) -> list[np.ndarray]:
-        """For each query, the vectors that collide with it often enough."""
-        n, m = len(self.vectors), len(self.order)
-        wanted = max(wanted, round(SHARE * n))
-        if n <= wanted:
-            return [np.arange(n)] * len(queries)
-        at = np.stack([np.searchsorted(v, q) for v, q in zip(self.values, (queries @ self.lines).T, strict=True)], axis=1)
-        out: list = [None] * len(queries)
-        open_ = np.arange(len(queries))
-        for share in WINDOWS:
-            size = min(n, max(wanted, round(share * n)))
-            least = round(OFTEN * m) if size < n else 0
-            left = []
-            for q in open_.tolist():
-                begin = np.clip(at[q] - size // 2, 0, n - size)
-                count = np.bincount(np.concatenate([o[b : b + size] for o, b in zip(self.order, begin.tolist(), strict=True)]), minlength=n)
-                found = np.flatnonzero(count >= least)
-                if len(found) >= wanted:
-                    out[q] = found
-                else:
-                    left.append(q)
-            open_ = np.array(left, int)
-            if not len(open_):
-                break
-        return out
+def best_of(ids: np.ndarray, vectors: np.ndarray, query: np.ndarray, some: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of some and their exact scores; a fast product first leaves out those that can't be among them."""
+    if len(some) > k:
+        rough = vectors[some] @ query
+        near = np.abs(vectors[some]).max() * np.abs(query).sum() * 1e-12
+        some = some[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - near]
+    score = exact(vectors[some], query)
+    order = np.lexsort((ids[some], -score))[:k]
+    return some[order], score[order]
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -104,7 +119,7 @@ def _sphere(x: np.ndarray, top: float) -> np.ndarray:
     return np.column_stack((x, np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1)))))
 
 
-def search_block(k: int, wanted: int):
+def search_block(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if left.num_rows and right.num_rows:
@@ -120,14 +135,21 @@ def search_block(k: int, wanted: int):
                 if not len(asked):
                     break
                 block = Block(_sphere(vectors[group], top))
-                for q, found in zip(asked.tolist(), block.candidates(flat[asked], wanted), strict=True):
-                    found = group[found]
-                    found = found[ids[found] != qids[q]]
-                    found, score = np.concatenate((bests[q][0], found)), np.concatenate((bests[q][1], vectors[found] @ queries[q]))
-                    best = np.lexsort((ids[found], -score))[:k]
-                    bests[q] = found[best], score[best]
-                    if len(best) == k:
-                        least[q] = score[best[-1]]
+                for q, at in zip(asked.tolist(), flat[asked] @ block.lines, strict=True):
+                    for look in (0, 1):
+                        if look == 0:
+                            found = group[block.first(at, WANTED * k + 1)]
+                        elif least[q] == -np.inf:
+                            found = group
+                        else:
+                            # the k-th best score as a distance on the sphere
+                            found = group[block.within(at, math.sqrt(max(0.0, 2 - 2 * least[q] / (lengths[q] * top))) + 1e-9)]
+                        found = np.union1d(bests[q][0], found[ids[found] != qids[q]])
+                        bests[q] = best_of(ids, vectors, queries[q], found, k)
+                        if len(bests[q][0]) == k:
+                            least[q] = bests[q][1][-1]
+                        if block.n <= WANTED * k + 1:
+                            break
             for q, (found, score) in enumerate(bests):
                 out += [(int(qids[q]), int(ids[f]), float(x)) for f, x in zip(found, score, strict=True)]
         return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
@@ -140,14 +162,16 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int)
 
     Vectors that are null, zero, or hold null or non-finite components take no part, nor do null
     ids or vectors of other lengths than most have. A query's own id is no candidate of its. With
-    fewer candidates than k, all are returned. Repeated rows count once each. An empty df gives
+    fewer candidates than k, all are returned. Of rows with the same id the one with the smallest
+    vector counts, among the queries too. Columns of other names don't matter. An empty df gives
     an empty result.
     """
 
     def sound(x: DataFrame) -> DataFrame:
         v = F.transform(F.col(vector), lambda c: c.cast("double"))
         ok = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("v", lambda c: c != 0)
-        return x.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & ok)
+        rows = x.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & ok)
+        return rows.groupBy("id").agg(F.min("v").alias("v"))
 
     rows, asked = cut(sound(df)), cut(sound(queries))
     sizes = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -157,11 +181,12 @@ def search(df: DataFrame, queries: DataFrame, id_col: str, vector: str, k: int)
     blocks = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     right = rows.withColumn("vb", F.pmod(F.xxhash64("id"), F.lit(nv)).cast("int")).withColumn("qb", blocks(nq))
     left = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int")).withColumn("vb", blocks(nv))
-    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search_block(k, WANTED * k), "query_id long, vec_id long, score double")
+    found = left.groupBy("vb", "qb").cogroup(right.groupBy("vb", "qb")).applyInArrow(search_block(k), "query_id long, vec_id long, score double")
     best = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", best.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each vector whose id is divisible by 20."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", 20)

@@ -190,4 +190,5 @@ def digests(df: DataFrame) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures of every document stored as an image and read back."""
     return digests(store(table(spark, sf_dir, "documents")))

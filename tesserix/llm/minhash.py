@@ -287,4 +287,5 @@ def components_of(docs: DataFrame, numer: int = 85, denom: int = 100, words: int
 
 
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near copies."""
     return components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))

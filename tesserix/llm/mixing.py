@@ -80,6 +80,8 @@ def multipliers(hist: DataFrame, goals: DataFrame, max_repeat: int = MAX_REPEAT)
         state = cut(state.where("full or done").unionByName(on))
         if state.where("not full and not done").isEmpty():
             break
+    else:
+        raise ArithmeticError(f"{STEPS} Newton steps left sources away from their targets")
     # the last bits of sums depend on the order of their terms: not those of the rates
     return state.select(*SRC, "scale", F.when(~F.col("full"), F.round("lam", 9)).alias("lam"))
 
@@ -129,6 +131,7 @@ def mix(df: DataFrame, size: Column, source: Column, keys: list[str], weights: t
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document, in words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count(F.col("text")).alias("size"))
     out = mix(docs, F.col("size"), F.col("source"), ["doc_id"])
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")

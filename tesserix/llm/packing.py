@@ -280,4 +280,5 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences."""
     return pack(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")

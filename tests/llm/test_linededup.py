@@ -11,13 +11,12 @@ from tesserix.llm import linededup
 BLANK = str.maketrans("\t\r\x0b\x0c", "    ")
 
 
-def brute(rows, least=10, most=50):
+def brute(rows, least=10):
     trim = lambda x: x.translate(BLANK).strip(" ")
-    judged = lambda t: t and len([w for w in t.split(" ") if w]) <= most
     sites = defaultdict(set)
     for r in rows:
         for x in (r["text"] or "").split("\n"):
-            if r["source"] is not None and judged(trim(x)):
+            if r["source"] is not None and trim(x):
                 sites[trim(x)].add(r["source"])
     bad = {t for t, s in sites.items() if len(s) >= least}
     out = []

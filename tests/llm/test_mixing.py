@@ -76,3 +76,12 @@ def test_empty_and_clashes(edge, none):
     odd = edge.withColumns({"size": F.lit("x"), "target": F.lit(1), "copies": F.lit(2), "__bucket": F.lit(3), "no_src": F.lit(4), "src": F.lit(5), "n": F.lit(6), "m": F.lit(7), "before": F.lit(1), "cnt": F.lit(1), "bucket": F.lit(2), "__rank": F.lit(9)})
     got = mixing.mix(odd, mixing.word_count(F.col("text")), F.col("source"), ["doc_id"])
     assert got.count() == edge.count() and {"no_src", "src", "n", "m", "before", "bucket"} <= set(got.columns)
+
+
+def test_an_unsettled_source_is_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    df = spark.createDataFrame([(i, "a" if i % 3 else "b", 1 + i * i % 50) for i in range(300)], "doc_id long, source string, n long")
+    with pytest.raises(ArithmeticError):
+        mixing.mix(df, df["n"], df["source"], ["doc_id"])

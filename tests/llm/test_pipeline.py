@@ -82,3 +82,17 @@ def test_repeated_passages_of_any_length(spark, small):
     df = spark.createDataFrame(rows, small.schema)
     got = {r["doc_id"]: r["text"] for r in dict(corpus_pipeline.STAGES)["line dedup"](spark, df, SMALL).collect()}
     assert got == {d: "\n".join(t.split("\n")[1:]) for d, t, *_ in rows}
+
+
+def test_near_copies_without_ids(spark):
+    """Those without ids go for one that has an id, and one of each text stays; clashing columns don't matter."""
+    from pyspark.sql import functions as F
+
+    words = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, words), (None, words), (None, words + " more"), (None, other), (None, other), (None, other.upper()), (None, None), (None, ""), (None, ""), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"gone": F.lit(1), "node": F.lit("n"), "kept": F.lit(False), "__key": F.lit(0)})
+    out = corpus_pipeline.drop_near_copies(spark, docs, SMALL)
+    assert out.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert len(got) == 6 and (5, words) in got and (7, "x") in got and got.count((None, "")) == 2 and (None, None) in got
