@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by collision counting over single projections.
 
 Every block of vectors has, for each of PROJECTIONS random directions, its vectors in the order
-of their projections. A query first looks at narrow windows around its own projection in a few of
+of their projections. A query first looks at windows of a fixed share around its own projection in all
 these orders; the vectors that collide with it most often are verified, which gives a radius within
-which its k nearest lie. Virtual rehashing then widens the windows of all orders to that radius: a
+which its k nearest lie. Virtual rehashing then sets the windows to that radius, however wide: a
 vector so near collides in a known share of the orders, so vectors whose collisions reach that share
 less Z standard deviations are verified by their exact inner product, however many there are, and
 of those below it a share of at most Z's tail is lost. Inner products are searched as distances: a
@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from .common import cut, table
 
 PROJECTIONS, SEED = 128, 7
-#: The first look: so many orders, windows of this share of a block, and candidates for each neighbour asked for.
-FIRST, NARROW, WANTED = 16, 0.125, 4
+#: The first look: windows of this share of a block, and candidates for each neighbour asked for.
+NARROW, WANTED = 0.4, 20
 #: Standard deviations below the expected collisions of a vector at the radius that are still verified.
-Z = 2.0
+Z = 1.0
 #: The share of orders in which a vector at the radius falls into a window as wide: a normal variable within one deviation.
 WITHIN = math.erf(math.sqrt(0.5))
+#: Places at which a sorted array is cut.
+CUTS = 64
 #: Rows of a block of vectors, and of one of queries.
 VECTORS, QUERIES = 16_384, 2_048
 #: The longest vector of a group is at most so many times as long as its shortest.
@@ -42,35 +44,48 @@ SPREAD = 2.0
 
 
 class Block:
-    """The sorted projections of one block of vectors (double, on the sphere)."""
+    """The sorted projections of one block of vectors (double, on the sphere).
+
+    Each sorted array is cut at CUTS places, and for every cut the vectors before it are kept as a
+    bitmap: a window between two cuts is the difference of two of them, and collisions are counted
+    by adding up the windows' bits. Windows are widened to the next cuts, never narrowed.
+    """
 
     def __init__(self, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         rng = np.random.default_rng(seed)
-        self.lines = rng.standard_normal((vectors.shape[1], projections))
-        self.values = (vectors @ self.lines).T.copy()
-        self.order = np.argsort(self.values, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(self.values, self.order, axis=1)
-        self.n = len(vectors)
-
-    def _count(self, begin: list[int], end: list[int]) -> np.ndarray:
-        return np.bincount(np.concatenate([o[b:e] for o, b, e in zip(self.order, begin, end, strict=False)]), minlength=self.n)
+        self.n, self.lines = len(vectors), rng.standard_normal((vectors.shape[1], projections))
+        values = (vectors @ self.lines).T.copy()
+        order = np.argsort(values, axis=1, kind="stable")
+        values = np.take_along_axis(values, order, axis=1)
+        places = np.unique(np.linspace(0, self.n, CUTS + 1).round().astype(int))
+        # a cut's value is that of the last vector before it, so that of equal values none is left out
+        self.edges = np.concatenate((np.full((projections, 1), -np.inf), values[:, places[1:] - 1]), axis=1)
+        rank = np.empty(order.shape, np.int64)
+        np.put_along_axis(rank, order, np.broadcast_to(np.searchsorted(places[1:], np.arange(self.n), "right"), order.shape), axis=1)
+        self.before = np.stack([np.packbits(rank < c, axis=1) for c in range(len(places))], axis=1)
+
+    def _count(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        lines = np.arange(len(begin))
+        bits = np.unpackbits(self.before[lines, end] ^ self.before[lines, begin], axis=1, count=self.n)
+        return np.add.reduce(bits, axis=0, dtype=np.uint8)
 
     def first(self, at: np.ndarray, wanted: int) -> np.ndarray:
-        """The wanted vectors that collide most often in narrow windows of the first orders. at: the query's projections."""
+        """The wanted vectors that collide most often in windows of one share of the block. at: the query's projections."""
         if self.n <= wanted:
             return np.arange(self.n)
-        size = max(wanted, round(NARROW * self.n))
-        mid = [int(np.searchsorted(v, x)) for v, x in zip(self.values[:FIRST], at[:FIRST], strict=True)]
-        begin = [min(max(0, m - size // 2), max(0, self.n - size)) for m in mid]
-        count = self._count(begin, [b + size for b in begin])
-        return np.argpartition(-count, wanted - 1)[:wanted]
+        last = self.edges.shape[1] - 1
+        mid = (self.edges < at[:, None]).sum(axis=1)
+        begin = np.clip(mid - max(1, round(NARROW * last / 2)), 0, last)
+        count = self._count(begin, np.clip(begin + max(2, round(NARROW * last)), 0, last))
+        return np.argpartition(-count.astype(np.int16), wanted - 1)[:wanted]
 
     def within(self, at: np.ndarray, radius: float) -> np.ndarray:
         """The vectors whose collisions, in windows as wide as the radius, don't rule out that they are within it."""
-        begin = [int(np.searchsorted(v, x - radius, "left")) for v, x in zip(self.values, at, strict=True)]
-        end = [int(np.searchsorted(v, x + radius, "right")) for v, x in zip(self.values, at, strict=True)]
-        m = len(self.order)
-        return np.flatnonzero(self._count(begin, end) >= m * WITHIN - Z * math.sqrt(m * WITHIN * (1 - WITHIN)))
+        m, last = self.edges.shape[0], self.edges.shape[1] - 1
+        begin = (self.edges < (at - radius)[:, None]).sum(axis=1) - 1
+        end = (self.edges < (at + radius)[:, None]).sum(axis=1)
+        count = self._count(np.clip(begin, 0, last), np.clip(end, 0, last))
+        return np.flatnonzero(count >= m * WITHIN - Z * math.sqrt(m * WITHIN * (1 - WITHIN)))
 
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:

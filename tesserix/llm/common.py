@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -43,6 +44,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of steps that are over: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def stored(df: DataFrame, path: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read again: what cut() does, in less space."""
     path = path or f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"

@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, table, tidy
 from .textkit import WORDS, flat, mixed, shingles, slices
 
 #: Minima of a set, and the most that the probability may be that a pair at the threshold shares no band of them.
 N_HASHES, MISS = 100, 1e-5
-#: Standard errors below the threshold at which a pair's estimate rules it out.
+#: Of the minima, 16 bits are kept for estimates, which can only raise them. Standard errors below the threshold at which a pair's estimate rules it out.
 Z = 5.0
-#: Shingles in a block, and columns of an incidence matrix at once.
-BLOCK, COLUMNS = 300_000, 8192
+#: Shingles and nodes in a block, and columns of an incidence matrix at once.
+BLOCK, NODES, COLUMNS = 300_000, 2048, 8192
 #: Nodes without a document id have numbers from here on.
 NO_ID = 1 << 62
 
@@ -84,7 +84,7 @@ def describe(words: int, n_bands: int):
                 place = np.zeros(j - i + 1, np.int32)
                 np.cumsum(full, out=place[1:])
                 bands = pa.ListArray.from_arrays(pa.array(place * n_bands, pa.int32()), pa.array(band_hashes(sig, n_bands).ravel()))
-                blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((place * (N_HASHES * 4)).astype(np.int32).tobytes()), pa.py_buffer(sig.tobytes())])
+                blobs = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer((place * (N_HASHES * 2)).astype(np.int32).tobytes()), pa.py_buffer(sig.astype(np.uint16).tobytes())])
                 keys = [pa.array(k.view(np.int64), mask=null) for k in (k1, k2)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n), *keys, blobs, bands], names=["doc_id", "th", "n_shingles", "k1", "k2", "sig", "bands"])
 
@@ -97,7 +97,7 @@ def ruled_in(threshold: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(flat(batch.column(i))[0].tobytes(), np.uint32).reshape(-1, N_HASHES) for i in (2, 3))
+            a, b = (np.frombuffer(flat(batch.column(i))[0].tobytes(), np.uint16).reshape(-1, N_HASHES) for i in (2, 3))
             ok = pa.array((a == b).sum(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in (0, 1)], names=["a", "b"])
 
@@ -220,6 +220,7 @@ class Graph:
         kinds = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("node", "th", "n_shingles", "sig", "bands")).alias("x"))
         self.nodes = cut(kinds.select("k1", "k2", "x.*"))
         keys = self.nodes.select("node", F.explode("bands").alias("band"))
+        tidy(docs.sparkSession)
         often = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
         self.keys = cut(keys.join(often, "band"))
 
@@ -247,8 +248,10 @@ class Graph:
         keys = self.keys.join(found, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
         keys = keys.join(self.nodes.select("node", "n_shingles"), "node")
         by_root = keys.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-        top = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("top"))
-        top = top.where("roots > 1 and n > 3").select("band", F.col("top.root").alias("main"), F.ceil(F.col("top.size") / BLOCK).alias("m"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).alias("o"))
+        top = by_root.groupBy("band").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("all"), F.max(F.struct("size", "root", "n")).alias("top"))
+        parts = lambda size, n: F.ceil(F.greatest(size / BLOCK, n / NODES)).cast("long")
+        main, rest = parts(F.col("top.size"), F.col("top.n")), parts(F.col("all") - F.col("top.size"), F.col("n") - F.col("top.n"))
+        top = top.where("roots > 1 and n > 3").select("band", F.col("top.root").alias("main"), main.alias("m"), rest.alias("o"))
         at = F.xxhash64("node", F.lit(3))
         own = F.when(F.col("root") == F.col("main"), F.pmod(at, "m")).otherwise(F.col("m") + F.pmod(at, "o"))
         laid = keys.join(top, "band").withColumn("own", own)
@@ -265,7 +268,9 @@ class Graph:
         """(node, root) of all nodes that have links."""
         links = cut(self.links(self.representative_pairs()))
         found = cut(components(links))
+        tidy(found.sparkSession)
         more = cut(self.missed(found))
+        tidy(found.sparkSession)
         return found if more.isEmpty() else components(links.unionByName(more))
 
 
