@@ -57,3 +57,41 @@ def known_and_hidden(ratings: DataFrame) -> DataFrame:
     place, n = F.row_number().over(own.orderBy("rating_year", "movieId")), F.count(F.lit(1)).over(own)
     split = F.expr("CASE WHEN n >= 5 THEN rn <= n * 4 div 5 WHEN n >= 2 THEN rn < n ELSE true END")
     return ratings.withColumns({"rn": place, "n": n}).withColumn("known", split).drop("rn", "n")
+
+
+def ranked(df: DataFrame, *keys: str, seed: int | str = SEED) -> DataFrame:
+    """df with rank (1 to n, in the fixed random order of its keys) and n. Rows are ranked within 65,536 hash buckets; only the buckets' counts are ordered in one place."""
+    order = shuffled(*keys, seed=seed)
+    rows = df.withColumn("__bucket", F.substring(order, 1, 4))
+    counts = rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__here"))
+    whole = W.orderBy("__bucket")
+    counts = counts.select("__bucket", (F.sum("__here").over(whole) - F.col("__here")).alias("__before"), F.sum("__here").over(W.partitionBy()).alias("n"))
+    place = F.row_number().over(W.partitionBy("__bucket").orderBy(order, *keys))
+    return rows.join(F.broadcast(counts), "__bucket").withColumn("rank", F.col("__before") + place).drop("__bucket", "__before")
+
+
+def row_split(df: DataFrame, *keys: str, share: tuple[int, int] = (1, 5)) -> DataFrame:
+    """df with test: a random share of the rows, rounded up."""
+    return ranked(df, *keys).withColumn("test", F.col("rank") <= F.ceil(F.col("n") * share[0] / share[1])).drop("rank", "n")
+
+
+def folds(df: DataFrame, *keys: str, k: int = 5) -> DataFrame:
+    """df with fold (0 to k - 1): contiguous parts of the random order, the first ones larger by a row where they must."""
+    fold = F.expr(f"int(CASE WHEN rank <= (n % {k}) * (n div {k} + 1) THEN (rank - 1) div (n div {k} + 1) ELSE n % {k} + (rank - 1 - (n % {k}) * (n div {k} + 1)) div (n div {k}) END)")
+    return ranked(df, *keys).withColumn("fold", fold).drop("rank", "n")
+
+
+def stratified_folds(df: DataFrame, label: str, *keys: str, k: int = 5) -> DataFrame:
+    """df with fold: every label's rows spread evenly over the folds, by their random order."""
+    place = F.row_number().over(W.partitionBy(label, "__part").orderBy(shuffled(*keys), *keys))
+    # a frequent label is ranked in 256 parts, each of which is spread evenly
+    rows = df.withColumn("__part", F.substring(shuffled(*keys), 1, 2))
+    return rows.withColumn("fold", ((place - 1 + F.conv("__part", 16, 10).cast("int")) % k).cast("int")).drop("__part")
+
+
+def time_split(ratings: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """ratings with train: of each user's history in order of time the first share, rounded down; without years in a fixed random order."""
+    own = W.partitionBy("userId")
+    order = ["rating_year", "movieId"] if "rating_year" in ratings.columns else [shuffled("userId", "movieId"), "movieId"]
+    rows = ratings.withColumns({"__rn": F.row_number().over(own.orderBy(*order)), "__n": F.count(F.lit(1)).over(own)})
+    return rows.withColumn("train", F.col("__rn") <= F.floor(F.col("__n") * share[0] / share[1])).drop("__rn", "__n")

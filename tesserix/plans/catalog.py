@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,18 +10,7 @@ from tesserix.functions import cleaning as C
 from tesserix.operators import bayes, collaborative, relational
 from tesserix.sources import roles
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str):
-    def note(f: Query) -> Query:
-        QUERIES[name], SQL[name] = f, sql
-        return f
-
-    return note
-
+from .registry import QUERIES, SQL, Query, query, rounded
 
 def ratings(spark: SparkSession, d: str) -> DataFrame:
     return relational.deduplicated(relational.mapped(roles.ratings_raw(spark, d), roles.links(spark, d)))
@@ -80,10 +67,6 @@ class Split:
         return collaborative.user_metrics(self.recommended(), self.test.where("NOT known"), self.recent.agg(F.countDistinct("movieId").alias("movies")))
 
 
-def rounded(df: DataFrame, *cols: str, to: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, to) for c in cols})
-
-
 @query("jn1_mapped_ratings", f"{R} SELECT userId, tmdbId AS movieId, rating, rating_year FROM ratings_raw JOIN links USING (movieId) WHERE tmdbId IS NOT NULL")
 def _(spark, d):
     return relational.mapped(roles.ratings_raw(spark, d), roles.links(spark, d)).select("userId", "movieId", "rating", "rating_year")
@@ -301,9 +284,16 @@ def _(spark, d):
     return rounded(bayes.errors(bayes.predict(rated_lines(spark, d), KEY, "rating", NUMERIC, NAMED)), "mse", "mae", "r2", "within_half", "within_one")
 
 
+def _load() -> None:
+    """The other modules note their queries when they are imported; they may use what is above."""
+    from . import cleaning_queries, content_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(SQL)
