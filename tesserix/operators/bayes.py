@@ -1,14 +1,24 @@
-"""The hybrid naive Bayes rating model in long form: Gaussian and categorical features, prior counted in both."""
+"""The hybrid naive Bayes rating model: Gaussian and categorical features, the prior counted in both.
+
+Parameters are aggregates; for scoring they become one row of arrays, whose size is checked, and
+every row is scored where it stands: no exchange, and rows that repeat stay apart.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserix.sources.files import kept
+
+from .relational import folds, row_split, shuffled
+
 SMOOTHING, ALPHA = 1e-9, 1.0
+#: The most parameters that are broadcast for scoring.
+MOST = 1_000_000
 
 
 def long_form(df: DataFrame, keep: list[str], features: list[str], kind: str) -> DataFrame:
@@ -35,23 +45,135 @@ def categorical(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     return grid.select(F.col(label).alias("label"), "feature", "value", p.alias("p"))
 
 
-def predict(df: DataFrame, key: list[str], label: str, numeric: list[str], named: list[str]) -> DataFrame:
-    """key, actual, predicted: the label with the largest sum of both log posteriors, the smallest of equals."""
-    g, c = gaussian(df, label, numeric), categorical(df, label, named)
-    prior = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    prior = prior.select("label", F.ln(F.col("n") / F.sum("n").over(W.partitionBy())).alias("prior"))
-    z = F.col("value") - F.col("mean")
-    lg = long_form(df, key, numeric, "double").join(F.broadcast(g), "feature").groupBy(*key, "label").agg(F.sum(-0.5 * F.ln(2 * math.pi * F.col("var")) - z * z / (2 * F.col("var"))).alias("lg"))
-    lc = long_form(df, key, named, "string").join(F.broadcast(c), ["feature", "value"]).groupBy(*key, "label").agg(F.sum(F.ln("p")).alias("lc"))
-    scored = lg.join(lc, [*key, "label"]).join(F.broadcast(prior), "label").withColumn("score", F.round(F.col("lg") + F.col("lc") + 2 * F.col("prior"), 9))
-    best = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("score"), "label"))
-    chosen = scored.withColumn("rn", best).where("rn = 1").select(*key, F.col("label").alias("predicted"))
-    return df.select(*key, F.col(label).alias("actual")).join(chosen, key)
+def priors(df: DataFrame, label: str) -> DataFrame:
+    n = df.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return n.select("label", F.ln(F.col("n") / F.sum("n").over(W.partitionBy())).alias("prior"))
+
+
+def fitted(df: DataFrame, label: str, numeric: list[str], named: list[str]) -> DataFrame:
+    """One row: classes, an array of (label, prior, gauss: feature to its mean and variance, named: feature and value to the logarithm of its share, unseen: the same for a value that the fit has not seen)."""
+    g = gaussian(df, label, numeric).groupBy("label").agg(F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "var").alias("at")))).alias("gauss"))
+    entry = F.struct(F.concat_ws("\0", "feature", "value").alias("k"), F.ln("p").alias("v"))
+    c = categorical(df, label, named).groupBy("label").agg(F.map_from_entries(F.collect_list(entry)).alias("named"), F.ln(F.min("p")).alias("unseen"))
+    classes = priors(df, label).join(g, "label").join(c, "label")
+    return classes.agg(F.collect_list(F.struct("label", "prior", "unseen", "gauss", "named")).alias("classes"))
+
+
+def predict(df: DataFrame, model: DataFrame, numeric: list[str], named: list[str], name: str = "predicted") -> DataFrame:
+    """df with the label of the largest sum of both log posteriors, the smallest of equals. A value that the fit has not seen counts like the rarest one."""
+    size = model.select(F.aggregate("classes", F.lit(0), lambda a, k: a + F.size(k["gauss"]) + F.size(k["named"])).alias("n")).first()["n"]
+    if size and size > MOST:
+        raise ValueError(f"{size} parameters are too many to broadcast")
+
+    def score(k: Column) -> Column:
+        out = 2 * k["prior"]
+        for f in numeric:
+            at = k["gauss"][f]
+            z = F.col(f).cast("double") - at["mean"]
+            out = out - 0.5 * F.ln(2 * math.pi * at["var"]) - z * z / (2 * at["var"])
+        for f in named:
+            out = out + F.coalesce(F.try_element_at(k["named"], F.concat_ws("\0", F.lit(f), F.col(f).cast("string"))), k["unseen"])
+        return F.struct(F.round(out, 9).alias("s"), (-k["label"]).alias("l"))
+
+    best = F.array_max(F.transform("classes", score))
+    return df.join(F.broadcast(model), F.lit(True)).withColumn(name, -best["l"]).drop("classes")
+
+
+def trained(df: DataFrame, key: list[str], label: str, numeric: list[str], named: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(the model of the training part, all rows with test and predicted)."""
+    rows = kept(row_split(df, *key))
+    model = kept(fitted(rows.where("NOT test"), label, numeric, named))
+    return model, predict(rows, model, numeric, named)
+
+
+def cross_validated(df: DataFrame, key: list[str], label: str, numeric: list[str], named: list[str], k: int = 5) -> DataFrame:
+    """(fold, mse): each fold scored by the model of the others."""
+    rows, out = kept(folds(df, *key, k=k)), None
+    for fold in range(k):
+        model = kept(fitted(rows.where(F.col("fold") != fold), label, numeric, named))
+        d = F.col(label) - F.col("predicted")
+        one = predict(rows.where(F.col("fold") == fold), model, numeric, named).groupBy("fold").agg(F.avg(d * d).alias("mse"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def label_codes(df: DataFrame, label: str) -> DataFrame:
+    """(label, code) of the distinct labels in order, from 0; labels are few, and only they are ordered."""
+    return df.select(F.col(label).alias("label")).distinct().withColumn("code", F.dense_rank().over(W.orderBy("label")) - 1)
+
 
+def level(rating: Column) -> Column:
+    return F.when(rating < 2.5, "low").when(rating < 4, "medium").otherwise("high")
 
-def errors(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
+
+def errors(df: DataFrame, actual: str = "actual", predicted: str = "predicted", by: list[str] | None = None) -> DataFrame:
+    """One row (or one for each of by) of error measures, binary counts and ratios, class accuracy, and of the top fifth by both."""
     a, p = F.col(actual), F.col(predicted)
-    return df.agg(
-        F.avg((a - p) * (a - p)).alias("mse"), F.avg(F.abs(a - p)).alias("mae"), (1 - F.sum((a - p) * (a - p)) / (F.var_pop(a) * F.count(a))).alias("r2"), F.avg((F.abs(a - p) <= 0.5).cast("double")).alias("within_half"),
-        F.avg((F.abs(a - p) <= 1).cast("double")).alias("within_one"), F.count_if((a >= 3.5) & (p >= 3.5)).alias("tp"), F.count_if((a < 3.5) & (p < 3.5)).alias("tn"), F.count_if((a < 3.5) & (p >= 3.5)).alias("fp"), F.count_if((a >= 3.5) & (p < 3.5)).alias("fn"),
+    if by:
+        tops = df.groupBy(by).agg(F.percentile(a, F.lit(0.8)).alias("__ta"), F.percentile(p, F.lit(0.8)).alias("__tp"))
+        df = df.join(tops, by)
+    else:
+        df = df.join(F.broadcast(df.agg(F.percentile(a, F.lit(0.8)).alias("__ta"), F.percentile(p, F.lit(0.8)).alias("__tp"))), F.lit(True))
+    share = lambda x: F.avg(x.cast("double"))
+    good, said = a >= 3.5, p >= 3.5
+    top, picked = a >= F.col("__ta"), p >= F.col("__tp")
+    out = df.groupBy(by or []).agg(
+        F.avg((a - p) * (a - p)).alias("mse"), F.avg(F.abs(a - p)).alias("mae"), (1 - F.try_divide(F.sum((a - p) * (a - p)), F.var_pop(a) * F.count(a))).alias("r2"), share(F.abs(a - p) <= 0.5).alias("within_half"), share(F.abs(a - p) <= 1).alias("within_one"),
+        F.count_if(good & said).alias("tp"), F.count_if(~good & ~said).alias("tn"), F.count_if(~good & said).alias("fp"), F.count_if(good & ~said).alias("fn"), share(good == said).alias("binary_accuracy"), share(level(a) == level(p)).alias("class_accuracy"),
+        F.coalesce(F.try_divide(F.count_if(top & picked), F.count_if(picked)), F.lit(0.0)).alias("precision_top20"), F.coalesce(F.try_divide(F.count_if(top & picked), F.count_if(top)), F.lit(0.0)).alias("recall_top20"),
+    )
+    div = lambda x, y: F.expr(f"coalesce(try_divide({x}, {y}), 0.0D)")
+    return out.withColumns({"binary_precision": div("tp", "tp + fp"), "binary_recall": div("tp", "tp + fn")})
+
+
+GROUPS = ["Genres", "Keywords", "Actors", "Directors", "User Features", "Temporal Features", "Movie Metadata"]
+
+
+def group_of(feature: Column) -> Column:
+    return (
+        F.when(feature.startswith("genre_") | feature.contains("primary_genre"), "Genres").when(feature.startswith("keyword_"), "Keywords").when(feature.startswith("actor_") | feature.contains("cast_size"), "Actors")
+        .when(feature.startswith("director_"), "Directors").when(feature.startswith("user_"), "User Features").when(feature.startswith("rating_") & ~feature.contains("count"), "Temporal Features").otherwise("Movie Metadata")
     )
+
+
+def importance(gauss: DataFrame, named: DataFrame) -> DataFrame:
+    """(feature, model_type, importance): spread of the class means over the mean class variance, or of the values' shares over the classes; each family adds up to one."""
+    g = gauss.groupBy("feature").agg((F.var_pop("mean") / F.when(F.avg("var") > 1e-10, F.avg("var")).otherwise(1.0)).alias("raw")).withColumn("model_type", F.lit("Gaussian_NB"))
+    c = named.groupBy("feature", "value").agg(F.var_pop("p").alias("v")).groupBy("feature").agg(F.sum("v").alias("raw")).withColumn("model_type", F.lit("Categorical_NB"))
+    family = W.partitionBy("model_type")  # a row a feature
+    total, n = F.sum("raw").over(family), F.count(F.lit(1)).over(family)
+    return g.unionByName(c).select("feature", "model_type", F.when(total > 0, F.col("raw") / total).otherwise(1 / n).alias("importance"))
+
+
+def grouped_importance(table: DataFrame, value: str = "importance") -> DataFrame:
+    """(feature_group, total_importance, feature_count, top_features): the first three names by importance, ties by name."""
+    found = F.sort_array(F.collect_list(F.struct((-F.round(value, 9)).alias("x"), "feature")))
+    by = table.withColumn("feature_group", group_of(F.col("feature"))).groupBy("feature_group")
+    return by.agg(F.sum(value).alias("total_importance"), F.count(F.lit(1)).alias("feature_count"), F.array_join(F.transform(F.slice(found, 1, 3), lambda x: x["feature"]), ", ").alias("top_features"))
+
+
+def permutation_importance(sample: DataFrame, model: DataFrame, key: list[str], label: str, numeric: list[str], named: list[str], repeats: int = 5) -> DataFrame:
+    """(feature, importance, percent): how much the squared error grows when a feature's values change places, averaged over repeats, never below 0. sample is small: a head sample, whose rows are ranked in one place."""
+    every = [*numeric, *named]
+    rows = sample.withColumn("__i", F.row_number().over(W.orderBy(*key)))
+    each = rows.withColumn("__f", F.explode(F.array(*map(F.lit, every)))).withColumn("__r", F.explode(F.array(*map(F.lit, range(repeats)))))
+    other = each.select("__f", "__r", F.coalesce(*[F.when(F.col("__f") == f, F.col(f).cast("string")) for f in every]).alias("__v"), F.row_number().over(W.partitionBy("__f", "__r").orderBy(shuffled(*key, "__f", "__r"), *key)).alias("__i"))
+    mixed = each.join(other, ["__f", "__r", "__i"]).withColumns({f: F.when(F.col("__f") == f, F.col("__v").cast("double" if f in numeric else "string")).otherwise(F.col(f)) for f in every})
+    d = F.col(label) - F.col("predicted")
+    base = predict(rows, model, numeric, named).agg(F.avg(d * d).alias("base"))
+    moved = predict(mixed, model, numeric, named).groupBy("__f", "__r").agg(F.avg(d * d).alias("mse"))
+    drop = moved.join(F.broadcast(base), F.lit(True)).groupBy(F.col("__f").alias("feature")).agg(F.greatest(F.avg(F.col("mse") - F.col("base")), F.lit(0.0)).alias("importance"))
+    total = F.sum("importance").over(W.partitionBy())
+    return drop.withColumn("percent", F.when(total > 0, 100 * F.col("importance") / total).otherwise(0.0))
+
+
+def class_analysis(gauss: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, label, mean, var) of at most ten features."""
+    return gauss.where(F.col("feature").isin(features[:10])).select("feature", "label", "mean", "var")
+
+
+def worked_example(gauss: DataFrame, feature: str) -> DataFrame:
+    """How one feature's importance comes about: its class means, their mean, squared deviations and spread."""
+    one = gauss.where(F.col("feature") == feature)
+    at = one.agg(F.avg("mean").alias("overall_mean"), F.var_pop("mean").alias("between"), F.avg("var").alias("within"))
+    return one.join(F.broadcast(at), F.lit(True)).select("feature", "label", "mean", "overall_mean", ((F.col("mean") - F.col("overall_mean")) ** 2).alias("squared_deviation"), "between", "within")

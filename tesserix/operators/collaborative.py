@@ -31,11 +31,17 @@ def norms(train: DataFrame) -> DataFrame:
     return train.groupBy("movieId").agg(F.sqrt(F.sum(F.col("rating") * F.col("rating"))).alias("norm"), F.count("rating").alias("rating_count"))
 
 
-def co_ratings(train: DataFrame) -> DataFrame:
-    """(m1, m2, dot) of movies rated by the same user, m1 < m2: half of the pairs, mirrored only after they are summed."""
-    a = train.select("userId", F.col("movieId").alias("m1"), F.col("rating").alias("r1"))
-    b = train.select("userId", F.col("movieId").alias("m2"), F.col("rating").alias("r2"))
-    return a.join(b, "userId").where("m1 < m2").groupBy("m1", "m2").agg(F.sum(F.col("r1") * F.col("r2")).alias("dot"))
+def co_ratings(train: DataFrame, block: int = 1000) -> DataFrame:
+    """(m1, m2, dot) of movies rated by the same user, m1 < m2: half of the pairs, mirrored only after they are summed.
+
+    A long history is dealt into blocks, and pairs of blocks meet in tasks of their own.
+    """
+    sizes = train.groupBy("userId").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m"))
+    rows = train.join(sizes, "userId").select("userId", "movieId", "rating", "m", F.pmod(F.xxhash64("movieId"), "m").cast("int").alias("own"))
+    every = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    a = rows.select("userId", F.col("movieId").alias("m1"), F.col("rating").alias("r1"), F.col("own").alias("i"), every.alias("j"))
+    b = rows.select("userId", F.col("movieId").alias("m2"), F.col("rating").alias("r2"), F.col("own").alias("j"), every.alias("i"))
+    return a.join(b, ["userId", "i", "j"]).where("m1 < m2").groupBy("m1", "m2").agg(F.sum(F.col("r1") * F.col("r2")).alias("dot"))
 
 
 def similarity(train: DataFrame, min_ratings: int = MIN_RATINGS, least: float = LEAST, top: int = TOP_K) -> DataFrame:
@@ -64,7 +70,9 @@ def recommend(history: DataFrame, similar: DataFrame, popular: DataFrame, top: i
     taken = seeds.select("userId", "movieId").unionByName(found.select("userId", "movieId"))
     need = users.join(taken.groupBy("userId").agg(F.count(F.lit(1)).alias("taken")), "userId", "left").join(found.groupBy("userId").agg(F.count(F.lit(1)).alias("got")), "userId", "left")
     need = need.where(F.coalesce("got", F.lit(0)) < top).select("userId", F.coalesce("got", F.lit(0)).alias("got"), F.explode(F.sequence(F.lit(1), (F.coalesce("taken", F.lit(0)) + top).cast("int"))).alias("place"))
-    ranked = popular.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "movieId")))
+    # only as many places are ranked as somebody may ask for
+    most = need.agg(F.max("place")).first()[0] or 0
+    ranked = popular.withColumn("place", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "movieId"))).where(F.col("place") <= most)
     fill = need.join(ranked.select("place", "movieId"), "place").join(taken, ["userId", "movieId"], "left_anti")
     turn = F.col("got") + F.row_number().over(W.partitionBy("userId").orderBy("place"))
     fill = fill.select("userId", "movieId", turn.cast("int").alias("rank")).where(F.col("rank") <= top)
@@ -72,14 +80,15 @@ def recommend(history: DataFrame, similar: DataFrame, popular: DataFrame, top: i
 
 
 def user_metrics(recommended: DataFrame, hidden: DataFrame, universe: int | DataFrame, liked: float = LIKED) -> DataFrame:
-    """Per user: counts of hits and misses among recommended and hidden movies, precision, recall, f1, hit and enjoyment recall."""
+    """Per user: counts of hits and misses among recommended and hidden movies, accuracy, precision, recall, f1, hit and the same for films that the user liked."""
     both = recommended.select("userId", "movieId", F.lit(1).alias("rec")).join(hidden.select("userId", "movieId", "rating"), ["userId", "movieId"], "full")
     rec, act, joy = F.col("rec").isNotNull(), F.col("rating").isNotNull(), F.coalesce(F.col("rating") >= liked, F.lit(False))
     counted = both.groupBy("userId").agg(F.count_if(rec & act).alias("tp"), F.count_if(rec & ~act).alias("fp"), F.count_if(~rec & act).alias("fn"), F.count_if(rec & joy).alias("e_tp"), F.count_if(~rec & joy).alias("e_fn"))
     counted = counted.where("tp + fp > 0 AND tp + fn > 0").join(F.broadcast(universe), F.lit(True))
-    div = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counted.select(
-        "userId", "tp", "fp", "fn", (F.col("movies") - tp - fp - fn).alias("tn"), "e_tp", "e_fn", div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"),
-        div(2 * tp, 2 * tp + fp + fn).alias("f1"), (tp > 0).cast("double").alias("hit_rate"), div(F.col("e_tp"), F.col("e_tp") + F.col("e_fn")).alias("enjoyment_recall"),
-    )
+    counted = counted.withColumns({"tn": F.expr("movies - tp - fp - fn"), "e_fp": F.expr("tp + fp - e_tp")}).withColumn("e_tn", F.expr("movies - e_tp - e_fp - e_fn"))
+    div = lambda a, b: F.expr(f"coalesce(try_divide({a}, {b}), 0.0D)")
+    ratios = {
+        "accuracy": div("tp + tn", "movies"), "precision": div("tp", "tp + fp"), "recall": div("tp", "tp + fn"), "f1": div("2 * tp", "2 * tp + fp + fn"), "hit_rate": (F.col("tp") > 0).cast("double"),
+        "enjoyment_precision": div("e_tp", "tp + fp"), "enjoyment_recall": div("e_tp", "e_tp + e_fn"), "enjoyment_f1": div("2 * e_tp", "2 * e_tp + e_fp + e_fn"),
+    }
+    return counted.withColumns(ratios).drop("movies")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tesserix.functions import cleaning as C
 from tesserix.operators import bayes, collaborative, relational
 from tesserix.sources import roles
+from tesserix.sources.files import kept
 
 from .registry import QUERIES, SQL, Query, query, rounded
 
@@ -45,9 +46,12 @@ HIDDEN = """, hidden AS (SELECT * FROM halves WHERE NOT known),
 pairs AS (SELECT coalesce(r.userId, h.userId) AS userId, r.movieId AS rec, h.movieId AS act, h.rating FROM recs r FULL JOIN hidden h ON r.userId = h.userId AND r.movieId = h.movieId),
 counted AS (SELECT userId, count(*) FILTER (rec IS NOT NULL AND act IS NOT NULL) AS tp, count(*) FILTER (rec IS NOT NULL AND act IS NULL) AS fp, count(*) FILTER (rec IS NULL AND act IS NOT NULL) AS fn,
   count(*) FILTER (rec IS NOT NULL AND rating >= 3.5) AS e_tp, count(*) FILTER (rec IS NULL AND rating >= 3.5) AS e_fn FROM pairs GROUP BY 1),
-metrics AS (SELECT userId, tp, fp, fn, (SELECT count(DISTINCT movieId) FROM recent) - tp - fp - fn AS tn, e_tp, e_fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
-  2 * tp / (2 * tp + fp + fn) AS f1, CAST(tp > 0 AS DOUBLE) AS hit_rate, coalesce(e_tp / nullif(e_tp + e_fn, 0), 0) AS enjoyment_recall FROM counted WHERE tp + fp > 0 AND tp + fn > 0)"""
-METRICS = ["precision", "recall", "f1", "hit_rate", "enjoyment_recall"]
+universe AS (SELECT count(DISTINCT movieId) AS movies FROM recent),
+metrics AS (SELECT userId, tp, fp, fn, movies - tp - fp - fn AS tn, e_tp, tp + fp - e_tp AS e_fp, e_fn, movies - tp - fp - e_fn AS e_tn, (movies - fp - fn) / movies AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall,
+  2 * tp / (2 * tp + fp + fn) AS f1, CAST(tp > 0 AS DOUBLE) AS hit_rate, e_tp / (tp + fp) AS enjoyment_precision, coalesce(e_tp / nullif(e_tp + e_fn, 0), 0) AS enjoyment_recall, 2 * e_tp / (tp + fp + e_tp + e_fn) AS enjoyment_f1
+  FROM counted, universe WHERE tp + fp > 0 AND tp + fn > 0)"""
+COUNTS = ["tp", "fp", "fn", "tn", "e_tp", "e_fp", "e_fn", "e_tn"]
+METRICS = ["accuracy", "precision", "recall", "f1", "hit_rate", "enjoyment_precision", "enjoyment_recall", "enjoyment_f1"]
 
 
 class Split:
@@ -60,8 +64,9 @@ class Split:
         self.test = relational.known_and_hidden(self.recent.join(users.where("NOT train"), "userId").drop("train"))
 
     def recommended(self) -> DataFrame:
-        stats = collaborative.movie_stats(self.train)
-        return collaborative.recommend(self.test.where("known"), collaborative.similarity(self.train), collaborative.popularity(stats))
+        # several steps read both parts
+        train, test = kept(self.train), kept(self.test)
+        return collaborative.recommend(test.where("known"), collaborative.similarity(train), collaborative.popularity(collaborative.movie_stats(train)))
 
     def metrics(self) -> DataFrame:
         return collaborative.user_metrics(self.recommended(), self.test.where("NOT known"), self.recent.agg(F.countDistinct("movieId").alias("movies")))
@@ -174,14 +179,16 @@ def _(spark, d):
     return Split(spark, d).recommended()
 
 
-@query("evl1_user_metrics", f"{R}{SPLIT}{SIMILAR}{RECOMMENDED}{HIDDEN} SELECT userId, tp, fp, fn, tn, e_tp, e_fn, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM metrics")
+@query("evl1_user_metrics", f"{R}{SPLIT}{SIMILAR}{RECOMMENDED}{HIDDEN} SELECT userId, {', '.join(COUNTS)}, " + ", ".join(f"round({m}, 6) AS {m}" for m in METRICS) + " FROM metrics")
 def _(spark, d):
-    return rounded(Split(spark, d).metrics(), *METRICS)
+    return rounded(Split(spark, d).metrics(), *METRICS).select("userId", *COUNTS, *METRICS)
 
 
-@query("evl2_macro_metrics", f"{R}{SPLIT}{SIMILAR}{RECOMMENDED}{HIDDEN} SELECT count(*) AS users, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS) + " FROM metrics")
+@query("evl2_macro_metrics", f"{R}{SPLIT}{SIMILAR}{RECOMMENDED}{HIDDEN} SELECT count(*) AS users, round(count(*) / (SELECT count(DISTINCT userId) FROM test), 6) AS success_rate, " + ", ".join(f"round(avg({m}), 6) AS {m}" for m in METRICS) + " FROM metrics")
 def _(spark, d):
-    return Split(spark, d).metrics().agg(F.count(F.lit(1)).alias("users"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
+    split = Split(spark, d)
+    tested = split.test.agg(F.countDistinct("userId").alias("tested"))
+    return split.metrics().join(F.broadcast(tested), F.lit(True)).agg(F.count(F.lit(1)).alias("users"), F.round(F.count(F.lit(1)) / F.first("tested"), 6).alias("success_rate"), *[F.round(F.avg(m), 6).alias(m) for m in METRICS])
 
 
 @query("agg18_rating_distribution", f"{R} SELECT rating, count(*) AS n FROM ratings GROUP BY 1")
@@ -189,12 +196,6 @@ def _(spark, d):
     return ratings(spark, d).groupBy("rating").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg10_user_stats", f"""{R} SELECT userId, round(avg(rating), 3) AS mean, round(coalesce(stddev_samp(rating), 0), 3) AS std, count(*) AS n, min(rating_year) AS first_year, max(rating_year) AS last_year FROM ratings GROUP BY 1""")
-def _(spark, d):
-    made = ratings(spark, d).groupBy("userId").agg(F.avg("rating").alias("mean"), F.coalesce(F.stddev_samp("rating"), F.lit(0.0)).alias("std"), F.count(F.lit(1)).alias("n"), F.min("rating_year").alias("first_year"), F.max("rating_year").alias("last_year"))
-    return rounded(made, "mean", "std", to=3)
-
-
 @query("agg19_favourite_genres", f"""{R}, liked AS (SELECT userId, p_type AS genre, avg(rating) AS mean, count(*) AS n FROM ratings JOIN part ON movieId = p_partkey GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT userId, genre, round(mean, 6) AS mean, n, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY round(mean, 9) DESC, genre) AS rank FROM liked) WHERE rank <= 3""")
 def _(spark, d):
@@ -243,7 +244,6 @@ def _(spark, d):
 
 
 NUMERIC, NAMED = ["l_extendedprice", "l_discount", "l_tax"], ["l_returnflag", "l_linestatus"]
-KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
 NB = """WITH rows_ AS (SELECT *, ceil(l_quantity / 5) / 2 AS rating FROM lineitem),
 num AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, rating, feature, value FROM (SELECT *, l_extendedprice AS price FROM rows_) UNPIVOT (value FOR feature IN (l_extendedprice, l_discount, l_tax))),
 eps AS (SELECT max(v) * 1e-9 AS eps FROM (SELECT var_pop(value) AS v FROM num GROUP BY feature)),
@@ -251,13 +251,6 @@ g AS (SELECT rating AS label, feature, avg(value) AS mean, var_pop(value) + any_
 cat AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice AS price, rating, feature, value FROM rows_ UNPIVOT (value FOR feature IN (l_returnflag, l_linestatus))),
 grid AS (SELECT * FROM (SELECT rating AS label, feature, count(*) AS total FROM cat GROUP BY 1, 2) JOIN (SELECT feature, value, count(*) OVER (PARTITION BY feature) AS kinds FROM (SELECT DISTINCT feature, value FROM cat)) USING (feature)),
 c AS (SELECT label, feature, value, (coalesce(n, 0) + 1) / (total + kinds) AS p FROM grid LEFT JOIN (SELECT rating AS label, feature, value, count(*) AS n FROM cat GROUP BY 1, 2, 3) USING (label, feature, value))"""
-PREDICTED = """, prior AS (SELECT rating AS label, ln(count(*) / sum(count(*)) OVER ()) AS prior FROM rows_ GROUP BY 1),
-lg AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, rating, label, sum(-0.5 * ln(2 * pi() * var) - (value - mean) ** 2 / (2 * var)) AS lg FROM num JOIN g USING (feature) GROUP BY ALL),
-lc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price, label, sum(ln(p)) AS lc FROM cat JOIN c USING (feature, value) GROUP BY ALL),
-predicted AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey, price ORDER BY round(lg + lc + 2 * prior, 9) DESC, label) AS rn
-  FROM lg JOIN lc USING (l_orderkey, l_linenumber, l_partkey, l_suppkey, price, label) JOIN prior USING (label))"""
-
-
 def rated_lines(spark, d):
     return roles.table(spark, d, "lineitem").withColumn("rating", F.ceil(F.col("l_quantity") / 5).cast("double") / 2)
 
@@ -272,21 +265,9 @@ def _(spark, d):
     return rounded(bayes.categorical(rated_lines(spark, d), "rating", NAMED), "p", to=9)
 
 
-@query("mdl7_predicted_ratings", f"{NB}{PREDICTED} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, price AS l_extendedprice, rating AS actual, label AS predicted FROM predicted WHERE rn = 1")
-def _(spark, d):
-    return bayes.predict(rated_lines(spark, d), KEY, "rating", NUMERIC, NAMED)
-
-
-@query("agg16_rating_errors", f"""{NB}{PREDICTED}, e AS (SELECT rating AS a, label AS p FROM predicted WHERE rn = 1)
-SELECT round(avg((a - p) ** 2), 6) AS mse, round(avg(abs(a - p)), 6) AS mae, round(1 - sum((a - p) ** 2) / (var_pop(a) * count(a)), 6) AS r2, round(avg(CAST(abs(a - p) <= 0.5 AS DOUBLE)), 6) AS within_half,
-round(avg(CAST(abs(a - p) <= 1 AS DOUBLE)), 6) AS within_one, count(*) FILTER (a >= 3.5 AND p >= 3.5) AS tp, count(*) FILTER (a < 3.5 AND p < 3.5) AS tn, count(*) FILTER (a < 3.5 AND p >= 3.5) AS fp, count(*) FILTER (a >= 3.5 AND p < 3.5) AS fn FROM e""")
-def _(spark, d):
-    return rounded(bayes.errors(bayes.predict(rated_lines(spark, d), KEY, "rating", NUMERIC, NAMED)), "mse", "mae", "r2", "within_half", "within_one")
-
-
 def _load() -> None:
     """The other modules note their queries when they are imported; they may use what is above."""
-    from . import cleaning_queries, content_queries  # noqa: F401
+    from . import cleaning_queries, content_queries, learning_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:
