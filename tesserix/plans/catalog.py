@@ -255,9 +255,9 @@ def rated_lines(spark, d):
     return roles.table(spark, d, "lineitem").withColumn("rating", F.ceil(F.col("l_quantity") / 5).cast("double") / 2)
 
 
-@query("mdl5_gaussian_parameters", f"{NB} SELECT label, feature, round(mean, 6) AS mean, round(var, 5) AS var FROM g")
+@query("mdl5_gaussian_parameters", f"{NB} SELECT label, feature, round(mean, 6) AS mean, round(ln(var), 8) AS log_var FROM g")
 def _(spark, d):
-    return bayes.gaussian(rated_lines(spark, d), "rating", NUMERIC).select("label", "feature", F.round("mean", 6).alias("mean"), F.round("var", 5).alias("var"))
+    return bayes.gaussian(rated_lines(spark, d), "rating", NUMERIC).select("label", "feature", F.round("mean", 6).alias("mean"), F.round(F.ln("var"), 8).alias("log_var"))
 
 
 @query("mdl6_categorical_parameters", f"{NB} SELECT label, feature, value, round(p, 9) AS p FROM c")

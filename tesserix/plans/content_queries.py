@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesserix.operators import content, relational
 from tesserix.sources import roles
+from tesserix.sources.files import kept
 
 from .catalog import ratings
 from .registry import query, rounded
@@ -69,8 +70,6 @@ class Content:
         self.features = content.features(self.films, stop=STOP)
 
     def recommended(self):
-        from tesserix.sources.files import kept
-
         feats = kept(self.features)
         people = kept(content.profiles(self.train, feats))
         return content.recommend(people, feats, self.train), feats
@@ -149,10 +148,10 @@ def _(spark, d):
     return Content(spark, d).features.groupBy(F.split_part("feature", F.lit("_"), F.lit(1)).alias("block")).agg(F.countDistinct("feature").alias("features"))
 
 
-@query("agg9_profiles", f"{R}{SPLIT}{BLOCKS}{PROFILES} SELECT userId, feature, round(value, 6) AS value FROM profiles")
+@query("agg9_profiles", f"{R}{SPLIT}{BLOCKS}{PROFILES} SELECT userId, feature, round(value, 11) AS value FROM profiles")
 def _(spark, d):
     c = Content(spark, d)
-    return rounded(content.profiles(c.train, c.features), "value")
+    return rounded(content.profiles(c.train, kept(c.features)), "value", to=11)
 
 
 @query("mdl3_content_recommendations", f"{R}{SPLIT}{BLOCKS}{PROFILES}{RECS} SELECT userId, movieId, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM recs")

@@ -266,10 +266,10 @@ def _(spark, d):
     return features.user_stats(ratings(spark, d))
 
 
-@query("agg11_user_spans", "SELECT o_custkey AS userId, round(avg(o_totalprice), 4) AS user_rating_mean, count(*) AS user_rating_count, round(CAST(max(epoch(o_orderdate)) - min(epoch(o_orderdate)) AS DOUBLE) / (24 * 3600 * 365), 6) AS user_rating_span FROM orders GROUP BY 1")
+@query("agg11_user_spans", "SELECT o_custkey AS userId, round(avg(o_totalprice), 8) AS user_rating_mean, count(*) AS user_rating_count, round(CAST(max(epoch(o_orderdate)) - min(epoch(o_orderdate)) AS DOUBLE) / (24 * 3600 * 365), 6) AS user_rating_span FROM orders GROUP BY 1")
 def _(spark, d):
     rows = roles.table(spark, d, "orders").select(F.col("o_custkey").alias("userId"), F.col("o_totalprice").alias("rating"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("timestamp"))
-    return features.user_stats(rows, None).select("userId", F.round("user_rating_mean", 4).alias("user_rating_mean"), "user_rating_count", F.round("user_rating_span", 6).alias("user_rating_span"))
+    return features.user_stats(rows, None).select("userId", F.round("user_rating_mean", 8).alias("user_rating_mean"), "user_rating_count", F.round("user_rating_span", 6).alias("user_rating_span"))
 
 
 @query("jn6_user_stats_on_rows", f"WITH {roles.VIEWS} SELECT userId, movieId, rating, round(avg(rating) OVER (PARTITION BY userId), 3) AS user_rating_mean, count(*) OVER (PARTITION BY userId) AS user_rating_count FROM ratings")
