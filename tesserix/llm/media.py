@@ -2,7 +2,7 @@
 
 decode() reads PBM, PGM and PPM (plain and raw, 8 or 16 bits) and uncompressed BMP (1, 4, 8, 24
 and 32 bits). Everything works on one row at a time in Arrow batches, so memory is bounded by the
-largest image.
+largest image and its bytes; integral images are summed up in slices.
 """
 
 from __future__ import annotations
@@ -19,11 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import stored, table, utf8
 from .textkit import flat
 
 #: Payloads are padded to a multiple of this, an image is this wide, and a payload has this many bytes in a row of it.
 BLOCK, WIDTH = 576, 24
+#: Sums of an integral image that are held at a time, and the side of the query's tiles.
+SLICE, TILE = 1 << 18, 16
 _TOKEN = re.compile(rb"(?:\s|#[^\r\n]*[\r\n])*([^\s#]+)")
 
 
@@ -93,18 +95,29 @@ def decode(data: bytes) -> np.ndarray:
     raise ValueError("neither Netpbm nor BMP")
 
 
+def _means(image: np.ndarray, n: int) -> np.ndarray:
+    """The first axis resized to n means, from the integral image at the places where the new samples meet; it is summed up a slice at a time."""
+    old, rest = len(image), image.shape[1:]
+    at = np.arange(n + 1) * old / n
+    low = np.minimum(at.astype(int), old - 1)
+    part = (at - low).reshape(-1, *[1] * len(rest))
+    step = max(1, SLICE // max(1, int(np.prod(rest))))
+    below, above, total = np.zeros((n + 1, *rest)), np.zeros((n + 1, *rest)), np.zeros((1, *rest))
+    for first in range(0, old, step):
+        sums = np.concatenate((total, total + np.cumsum(image[first : first + step], axis=0, dtype=np.float64)))
+        here = (low >= first) & (low < first + step)
+        below[here], above[here] = sums[low[here] - first], sums[low[here] - first + 1]
+        total = sums[-1:]
+    return np.diff(below * (1 - part) + above * part, axis=0) * (n / old)
+
+
 def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Means over the areas that the new samples cover, from an integral image; fractions of samples count."""
-    image = image.astype(np.float64)
-    for axis, n in ((0, height), (1, width)):
-        total = np.cumsum(image, axis=axis)
-        total = np.concatenate((np.zeros_like(total.take([0], axis)), total), axis)
-        old = image.shape[axis]
-        at = np.arange(n + 1) * old / n
-        low = np.minimum(at.astype(int), old - 1)
-        part = (at - low).reshape([-1 if a == axis else 1 for a in range(image.ndim)])
-        edge = total.take(low, axis) * (1 - part) + total.take(low + 1, axis) * part
-        image = np.diff(edge, axis=axis) * (n / old)
+    """Means over the areas that the new samples cover, from integral images; fractions of samples count.
+
+    The longer axis goes first, so the working memory is SLICE sums and what is left of the shorter axis.
+    """
+    for axis in sorted((0, 1), key=lambda a: -image.shape[a]):
+        image = _means(np.swapaxes(image, 0, axis), (height, width)[axis]).swapaxes(0, axis)
     return image
 
 
@@ -114,18 +127,19 @@ def grey(image: np.ndarray) -> np.ndarray:
 
 def difference_hash(image: np.ndarray, side: int = 8) -> str:
     """Whether brightness rises from left to right, in side x side places: hex digits."""
-    small = np.round(area_resize(grey(image), side, side + 1), 6)
+    small = np.round(grey(area_resize(image, side, side + 1)), 6)
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
 def npy(image: np.ndarray) -> bytes:
     out = io.BytesIO()
-    np.save(out, image, allow_pickle=False)
+    np.save(out, np.ascontiguousarray(image), allow_pickle=False)
     return out.getvalue()
 
 
 def tiles_of(image: np.ndarray, side: int = 32) -> np.ndarray:
-    return np.clip(np.rint(area_resize(image, side, side)), 0, 255).astype(np.uint8)
+    """8-bit means; they are rounded to 6 decimals first, so that halves don't hang on the order of a sum."""
+    return np.clip(np.rint(np.round(area_resize(image, side, side), 6)), 0, 255).astype(np.uint8)
 
 
 def image_features(df: DataFrame, media: str, side: int = 32) -> DataFrame:
@@ -152,8 +166,9 @@ def image_features(df: DataFrame, media: str, side: int = 32) -> DataFrame:
 
 
 def to_media(payload: bytes) -> bytes:
-    """A PGM whose samples are the payload, WIDTH in a row."""
-    return encode_pgm(np.frombuffer(payload, np.uint8).reshape(-1, WIDTH))
+    """An image whose samples are the payload, WIDTH bytes in a row: a PGM, or a BMP of WIDTH / 3 pixels where the payload's CRC-32 is odd."""
+    samples = np.frombuffer(payload, np.uint8)
+    return encode_bmp(samples.reshape(-1, WIDTH // 3, 3)) if zlib.crc32(payload) % 2 else encode_pgm(samples.reshape(-1, WIDTH))
 
 
 def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -172,9 +187,9 @@ def store(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFram
     return df.select(F.col(doc_id).cast("long").alias("doc_id"), utf8(F.col(text)).alias("data")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def digests(df: DataFrame) -> DataFrame:
-    """From (doc_id, n_bytes, media), the payload read back from the stored bytes and what is computed of it."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def digests(df: DataFrame, side: int = TILE) -> DataFrame:
+    """From (doc_id, n_bytes, media), the payload read back from the stored bytes and what is computed of it, with the image's NPY tile."""
+    types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "media_type": pa.string(), "tile": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,12 +198,20 @@ def digests(df: DataFrame) -> DataFrame:
                 media = value.as_py()
                 image = decode(media)
                 payload = image.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, zip(*rows, strict=True))] if rows else [pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())], names=names)
+                kind = "image/bmp" if media[:2] == b"BM" else "image/x-portable-graymap"
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), kind, npy(tiles_of(image, side))))
+            new = list(zip(*rows, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, new, types.values())], names=["doc_id", "n_bytes", *types])
 
-    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    schema = ", ".join(f"{n} {dict(int64='long', string='string', binary='binary')[str(t)]}" for n, t in types.items())
+    return df.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id long, n_bytes long, {schema}")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The figures of every document stored as an image and read back."""
-    return digests(store(table(spark, sf_dir, "documents")))
+    """The figures of every document, of any length or none, stored as an image, read back, and made into a tile.
+
+    Media and tiles are tables in the shared folder; tile_sha256 is of a tile's NPY bytes as read back. Rows with
+    one text have the same values, repeated rows and ids stay as they are, and an empty table has no rows.
+    """
+    media = stored(store(table(spark, sf_dir, "documents")))
+    return stored(digests(media)).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")

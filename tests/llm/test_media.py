@@ -51,6 +51,43 @@ def test_features(spark):
     assert got[2]["dhash"] is None and got[3]["tile"] is None
 
 
+def test_area_resize_in_slices():
+    """One slice or many, tall, wide or coloured: the means by their definition."""
+    rng = np.random.default_rng(3)
+    for shape in ((1500, 24), (7, 900), (301, 11, 3)):
+        image = rng.integers(0, 256, shape, np.uint8)
+        whole = media.area_resize(image, 8, 9)
+        assert np.allclose(whole, np.einsum("ai,bj,ij...->ab...", weights(shape[0], 8), weights(shape[1], 9), image))
+        media.SLICE, old = 50, media.SLICE
+        try:
+            assert np.allclose(media.area_resize(image, 8, 9), whole)
+        finally:
+            media.SLICE = old
+
+
+def weights(old, new):
+    """Row k: the share of the new sample k that each old sample covers."""
+    return np.array([[max(0.0, min((k + 1) * old / new, j + 1) - max(k * old / new, j)) * new / old for j in range(old)] for k in range(new)])
+
+
+def brute_form(padded):
+    """The stored form, the difference hash and the tile, by their definitions."""
+    if zlib.crc32(padded) % 2:
+        n = len(padded)
+        pixels = np.frombuffer(padded, np.uint8).reshape(-1, 8, 3)
+        head = b"BM" + (54 + n).to_bytes(4, "little") + bytes(4) + (54).to_bytes(4, "little") + (40).to_bytes(4, "little") + (8).to_bytes(4, "little") + len(pixels).to_bytes(4, "little")
+        head += b"\x01\0\x18\0" + bytes(4) + n.to_bytes(4, "little") + 2 * (2835).to_bytes(4, "little") + bytes(8)
+        form, image = head + b"".join(bytes(row[:, ::-1].tobytes()) for row in pixels[::-1]), pixels
+    else:
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 24)
+        form = f"P5\n24 {len(image)}\n255\n".encode() + padded
+    small = lambda h, w: np.einsum("ai,bj,ij...->ab...", weights(image.shape[0], h), weights(image.shape[1], w), image.astype(float))
+    seen = small(8, 9)
+    seen = np.round(seen.mean(axis=2) if seen.ndim == 3 else seen, 6)
+    bits = "".join("01"[int(b)] for b in (seen[:, 1:] > seen[:, :-1]).ravel())
+    return hashlib.sha256(form).hexdigest(), len(form), f"{int(bits, 2):016x}", np.clip(np.rint(np.round(small(16, 16), 6)), 0, 255).astype(np.uint8)
+
+
 def brute(rows):
     out = []
     for r in rows:
@@ -72,4 +109,11 @@ def test_edge_rows(spark, edge, none, tmp_path):
 
 def test_query(spark, small):
     got = media.op8_media(spark, SMALL).collect()
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in small.collect()}
+    for r in got[:150]:
+        data = texts[r["doc_id"]]
+        form, n, feature, tile = brute_form(data.ljust(max(1, -(-len(data) // 576)) * 576, b"\xff"))
+        assert (r["media_sha256"], r["media_bytes"], r["feature"]) == (form, n, feature)
+        assert r["tile_sha256"] == hashlib.sha256(media.npy(tile)).hexdigest()
+    assert {r["media_type"] for r in got} == {"image/bmp", "image/x-portable-graymap"}
     assert sorted([(r["doc_id"], r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in got], key=str) == brute(small.collect())
