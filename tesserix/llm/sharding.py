@@ -69,7 +69,8 @@ def shard_rows(df: DataFrame, keys: list[str], tree: Topology, grown: Topology |
     """df with shard, slot (gapless from 0 in each shard) and, given grown, grown_shard.
 
     Law "key": a row's keys and the topology alone decide. Null keys hash like any other value;
-    rows with equal keys share a shard and get slots of their own. Slots: a row's place among the
+    rows with equal keys share a shard and get slots of their own, in
+    the order of a hash of their other columns. Slots: a row's place among the
     rows of its shard and hash bucket, plus the number of rows in the buckets before. The counts
     are shards x buckets rows at most and are broadcast; no task ever holds a whole shard.
     Columns of df named shard, slot or grown_shard are replaced. An empty df gives an empty result.
@@ -77,16 +78,19 @@ def shard_rows(df: DataFrame, keys: list[str], tree: Topology, grown: Topology |
     df = df.drop("shard", "slot", "grown_shard")
     b, off = fresh(df, "bucket", "before")
     cols = [F.col(k) for k in keys]
+    # maps and variants have no hash
+    others = [F.col(f"`{f.name.replace('`', '``')}`") for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
     placed = df.withColumn("shard", descend(cols, tree).cast("int")).withColumn("grown_shard", (descend(cols, grown) if grown else F.lit(None)).cast("int"))
     placed = placed.withColumn(b, F.pmod(F.xxhash64(*cols, F.lit("slot")), F.lit(buckets)).cast("int"))
     counts = placed.groupBy("shard", b).agg(F.count(F.lit(1)).alias(off))
     before = W.partitionBy("shard").orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     counts = counts.select("shard", b, F.coalesce(F.sum(off).over(before), F.lit(0)).alias(off))
-    rank = F.row_number().over(W.partitionBy("shard", b).orderBy(*cols)) - 1
+    rank = F.row_number().over(W.partitionBy("shard", b).orderBy(*cols, F.xxhash64(*others))) - 1
     return placed.withColumn("slot", rank.cast("long")).join(F.broadcast(counts), ["shard", b]).withColumn("slot", F.col("slot") + F.col(off)).drop(b, off)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str, shards: int = 16) -> DataFrame:
+    """Every document's shard by its doc_id; null texts have no bytes, null and repeated ids are keys like others, an empty table has no rows."""
     docs = table(spark, sf_dir, "documents")
     data = utf8(F.col("text"))
     rows = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.lit("key").alias("law"))

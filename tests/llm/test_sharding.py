@@ -1,8 +1,11 @@
 """The hash tree's law, its slots and its movement."""
 
+import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
+import xxhash
 from conftest import SMALL, folder
 from pyspark.sql import functions as F
 
@@ -63,3 +66,35 @@ def test_clashes(edge):
     odd = edge.withColumns({"__bucket": F.lit(1), "slot": F.lit("x"), "shard": F.lit(0), "__before": F.lit(3)})
     got = sharding.shard_rows(odd, ["doc_id"], sharding.topology(4))
     assert got.count() == edge.count() and {"__bucket", "__before"} <= set(got.columns)
+
+
+def walk(key, node, label=""):
+    """The leaf that a long key comes to, draw by draw, with the hash computed outside Spark."""
+    if isinstance(node, tuple):
+        return node[0]
+
+    def drawn(name, weight):
+        h = xxhash.xxh64(name.encode(), seed=xxhash.xxh64(struct.pack("<q", key), seed=42).intdigest()).intdigest()
+        return math.log(((h >> 11) + 0.5) / 2**53) / weight
+
+    names = [f"s{x[0]}" if isinstance(x, tuple) else f"{label}/{i}" for i, x in enumerate(node)]
+    won = max(range(len(node)), key=lambda i: drawn(names[i], sharding.weight_of(node[i])))
+    return walk(key, node[won], names[won])
+
+
+def test_query_against_a_walk(spark):
+    tree = sharding.topology(16)
+    for r in sharding.op10_sharding(spark, SMALL).collect():
+        assert (r["shard"], r["grown_shard"]) == (walk(r["doc_id"], tree), walk(r["doc_id"], sharding.grow(tree)))
+
+
+def test_uneven_tree_against_a_walk(spark):
+    tree = [[[(0, 1.0), (1, 3.0)], [(2, 2.0)]], [[(3, 4.0), (4, 0.5)]], [[(5, 2.0)]]]
+    for r in spark.range(2000).select("id", sharding.descend([F.col("id")], tree).alias("shard")).collect():
+        assert r["shard"] == walk(r["id"], tree)
+
+
+def test_slots_of_equal_keys_agree(spark):
+    rows = [(7, f"text {i}") for i in range(50)]
+    one = lambda rows: {r["text"]: r["slot"] for r in sharding.shard_rows(spark.createDataFrame(rows, "k long, text string").repartition(3), ["k"], sharding.topology(4)).collect()}
+    assert one(rows) == one(rows[::-1])
