@@ -1,5 +1,6 @@
 """The automaton against edit distance; held-out accuracy; edge cases."""
 
+import math
 import random
 
 from conftest import SMALL, folder
@@ -107,3 +108,50 @@ def test_ordinary_words_are_no_misspellings(spark):
     assert "trash" in model.words and "crash" in model.ordinary
     read = toxicity.Reader(model).features
     assert read("a crash")[2] == 0 and read("a trxsh")[2] > 0
+
+
+def naive_score(text, model):
+    """The score by definition: edit distances instead of the automaton, positions one by one."""
+    text = text.lower()
+    found = list(toxicity.TOKEN.finditer(text))
+
+    def kind(t):
+        if t in model.words:
+            return 1
+        if any(t.startswith(s) for s in model.stems):
+            return 2
+        near = any(len(w) >= toxicity.FUZZY and abs(len(w) - len(t)) < 2 and distance(t, w) <= 1 for w in model.words)
+        return 3 if near and t not in model.ordinary else 0
+
+    kinds = [kind(m.group()) for m in found]
+    count, quoted, at = [0] * 4, 0, []
+    for i, (m, k) in enumerate(zip(found, kinds, strict=True)):
+        if k:
+            before, after = text[max(0, m.start() - 60) : m.start()], text[m.end() : m.end() + 60]
+            framed = any(c in toxicity.QUOTES for c in before) and any(c in toxicity.QUOTES for c in after)
+            if framed and (any(x.group() in toxicity.SAID for x in found[max(0, i - 6) : i]) or before.count('"') % 2):
+                quoted += 1
+            else:
+                count[k] += 1
+                at.append(i)
+    dense = max((sum(a <= b < a + toxicity.WINDOW for b in at) for a in at), default=0)
+    x = [math.log1p(n) for n in count[1:]] + [float(count[1] + count[2] > 0), math.log1p(quoted), math.log1p(dense), len(at) / max(1, len(found))]
+    x = x if any(kinds) else [0.0] * len(x)
+    return 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x, model.weights, strict=True)) + model.bias)))
+
+
+def test_query_against_definition(spark, small):
+    model = toxicity.fitted(spark, SMALL)
+    texts = {r["doc_id"]: r["text"] or "" for r in small.collect()}
+    got = toxicity.op1_toxicity(spark, SMALL).collect()
+    assert len(got) == len(texts) and model.words
+    for r in got:
+        want = naive_score(texts[r["doc_id"]], model)
+        assert math.isclose(r["score"], want, abs_tol=1e-9) and r["predicted"] == (r["score"] >= 0.3), r
+
+
+def test_very_long_and_tied_texts(spark):
+    long = "plain words here " * 200_000 + "you scum"
+    df = spark.createDataFrame([(1, long), (2, "x" * 2_000_000), (3, "scum"), (3, "scum")], "doc_id long, text string")
+    got = [r["score"] for r in toxicity.score(df, toxicity.Model(["scum"], [], [1.0] * toxicity.FEATURES, -1.0)).collect()]
+    assert got[0] > got[1] and got[2] == got[3] > got[0]
