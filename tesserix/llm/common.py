@@ -50,10 +50,10 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def stored(df: DataFrame, path: str | None = None) -> DataFrame:
+def stored(df: DataFrame, path: str | None = None, codec: str = "snappy") -> DataFrame:
     """df written once as Parquet in the shared folder and read again: what cut() does, in less space."""
     path = path or f"{shared_dir(df.sparkSession)}/stored-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     forget_later(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

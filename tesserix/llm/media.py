@@ -213,5 +213,5 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     Media and tiles are tables in the shared folder; tile_sha256 is of a tile's NPY bytes as read back. Rows with
     one text have the same values, repeated rows and ids stay as they are, and an empty table has no rows.
     """
-    media = stored(store(table(spark, sf_dir, "documents")))
-    return stored(digests(media)).withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
+    media = stored(store(table(spark, sf_dir, "documents")), codec="zstd")
+    return stored(digests(media), codec="zstd").withColumn("tile_sha256", F.sha2("tile", 256)).drop("tile")
