@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tesserix.sources.files import kept
 from .relational import LIKED
 
 MIN_RATINGS, TOP_K, LEAST, TOP_N, QUANTILE = 5, 20, 0.01, 15, 0.9
@@ -65,7 +66,8 @@ def recommend(history: DataFrame, similar: DataFrame, popular: DataFrame, top: i
     found = seeds.join(near, "movieId").groupBy("userId", F.col("other").alias("movieId")).agg(F.sum(F.col("sim") * F.col("rating")).alias("score"))
     found = found.join(seeds.select("userId", "movieId"), ["userId", "movieId"], "left_anti")
     rank = F.row_number().over(W.partitionBy("userId").orderBy(F.desc(F.round("score", 9)), "movieId"))
-    found = found.withColumn("rank", rank).where(F.col("rank") <= top).select("userId", "movieId", "rank")
+    # what was found is asked for four times, and similarity below it is the costly part
+    found = kept(found.withColumn("rank", rank).where(F.col("rank") <= top).select("userId", "movieId", "rank"))
     # a user needs no more popular movies than are wanted, liked and found together
     taken = seeds.select("userId", "movieId").unionByName(found.select("userId", "movieId"))
     need = users.join(taken.groupBy("userId").agg(F.count(F.lit(1)).alias("taken")), "userId", "left").join(found.groupBy("userId").agg(F.count(F.lit(1)).alias("got")), "userId", "left")
