@@ -3,8 +3,7 @@
 The lexicon comes from labelled documents: words and word beginnings that toxic documents have
 far more often than others. Its words go into a trie, on which a Levenshtein automaton of one
 edit runs, determinized as it is used; beginnings (stems of a language's words) match exactly. A
-word stays in the lexicon beside its own stems, so that its misspellings are found; a form that
-other documents have as a word of theirs is none.
+word stays in the lexicon beside its own stems, so that its misspellings are found.
 A document's hits are told apart by exact word, stem and misspelling, and by their context
 windows: a hit in a quotation weighs for itself, and hits that stand close together weigh more.
 A logistic model of these features gives the score.
@@ -117,7 +116,6 @@ class Model:
     stems: list[str]
     weights: list[float] = field(default_factory=lambda: [0.0] * FEATURES)
     bias: float = 0.0
-    ordinary: frozenset[str] = frozenset()
 
 
 def terms_of(text: str) -> set[str]:
@@ -145,26 +143,6 @@ def count_terms(only: frozenset | None):
     return run
 
 
-def count_misspelt(model: Model):
-    """(term, toxic, clean): documents with each form that the automaton takes for a misspelling."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, known = Automaton(model.words, model.stems).match, {}
-        for batch in batches:
-            count: dict[str, list[int]] = {}
-            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for t in set(TOKEN.findall(text.lower())):
-                    if (k := known.get(t)) is None:
-                        k = known[t] = match(t)
-                    if k == 3:
-                        count.setdefault(t, [0, 0])[y <= 0] += 1
-            if len(known) > 200_000:
-                known.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(count.keys(), pa.string()), *[pa.array([n[i] for n in count.values()], pa.int64()) for i in (0, 1)]], names=["term", "toxic", "clean"])
-
-    return run
-
-
 def telling(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
     return (toxic + 0.5) / (n_toxic + 1) >= RATIO * (clean + 0.5) / (n_clean + 1)
 
@@ -200,8 +178,7 @@ class Reader:
         for t in set(tokens):
             k = known.get(t)
             if k is None:
-                k = match(t)
-                k = known[t] = 0 if k == 3 and t in self.model.ordinary else k
+                k = known[t] = match(t)
             any_ = any_ or k > 0
         if not any_:
             return [0.0] * FEATURES
@@ -269,9 +246,6 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     toxic = {r["term"]: r["n"] for r in counted.collect()}
     counted = rows.where("y = 0").select("text").mapInArrow(count_terms(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     model = choose(toxic, {r["term"]: r["n"] for r in counted.collect()}, n_toxic, n_clean)
-    # a form in a single clean document is like one never seen: it stays a misspelling, so that the weights hold for unseen texts
-    forms = rows.mapInArrow(count_misspelt(model), "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("clean > 1")
-    model.ordinary = frozenset(r["term"] for r in forms.collect() if not telling(r["toxic"], r["clean"], n_toxic, n_clean))
     got = rows.mapInArrow(featured(model), "x array<double>, y int").collect()
     w, b = logistic(np.array([r["x"] for r in got]), np.array([float(r["y"] > 0) for r in got]))
     model.weights, model.bias = w.tolist(), b

@@ -95,21 +95,11 @@ def test_misspelt_words_count(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int, unseen boolean, kind string")
     model = toxicity.fit(df, df.where("not unseen").select("doc_id", "toxic"))
     assert set(bad) <= set(model.words)
-    assert not model.ordinary & set(bad)
     got = toxicity.score(df.where("unseen"), model).collect()
     assert all((r["score"] >= toxicity.THRESHOLD) == (r["toxic"] > 0) for r in got)
     assert all(r["hits"][2] > 0 for r in got if r["kind"] == "misspelt")
 
 
-def test_ordinary_words_are_no_misspellings(spark):
-    rows = [(i, f"you are trash {i}" if i % 3 == 0 else f"the crash of {i}", int(i % 3 == 0)) for i in range(90)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    model = toxicity.fit(df, df.select("doc_id", "toxic"))
-    assert "trash" in model.words and "crash" in model.ordinary
-    read = toxicity.Reader(model).features
-    assert read("a crash")[2] == 0 and read("a trxsh")[2] > 0
-
-
 def naive_score(text, model):
     """The score by definition: edit distances instead of the automaton, positions one by one."""
     text = text.lower()
@@ -121,7 +111,7 @@ def naive_score(text, model):
         if any(t.startswith(s) for s in model.stems):
             return 2
         near = any(len(w) >= toxicity.FUZZY and abs(len(w) - len(t)) < 2 and distance(t, w) <= 1 for w in model.words)
-        return 3 if near and t not in model.ordinary else 0
+        return 3 if near else 0
 
     kinds = [kind(m.group()) for m in found]
     count, quoted, at = [0] * 4, 0, []
