@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tesserix.sources.files import kept
+
 from .relational import LIKED
 
 MIN_RATINGS, TOP_K, LEAST, TOP_N, QUANTILE = 5, 20, 0.01, 15, 0.9
