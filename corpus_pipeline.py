@@ -1,7 +1,8 @@
 """The corpus pipeline: five stages from raw documents to packed windows.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of documents. run() writes each stage's result and reads it again for the next.
+columns of documents. run() writes each stage's result and reads it again for the next; the tables
+are deleted when the driver ends.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserix.llm import linededup, minhash, mixing, packing, toxicity
-from tesserix.llm.common import WORD, fresh, shared_dir, table, word_count
+from tesserix.llm.common import WORD, forget_later, fresh, shared_dir, table, word_count
 
 #: Hundredths of similarity from which the pipeline takes documents for near copies. op6 has its own threshold.
 NEAR = 80
@@ -67,6 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    forget_later(spark, folder)
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
