@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
+#: Bytes of a batch that goes to Python.
+BATCH = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to Python by BATCH; a smaller bound of the session stays.
+
+    A batch stands in an executor several times over (as vectors, as a message and in Python), for
+    each of its tasks. Batches are only how rows travel: results don't depend on them.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later steps neither recompute it nor need its executors."""
     spark = df.sparkSession

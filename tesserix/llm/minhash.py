@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tidy
+from .common import cut, small_batches, table, tidy
 from .textkit import WORDS, flat, mixed, shingles, slices
 
 #: Minima of a set, and the most that the probability may be that a pair at the threshold shares no band of them.
@@ -213,6 +213,7 @@ class Graph:
 
     def __init__(self, docs: DataFrame, numer: int, denom: int, words: int):
         self.docs, self.numer, self.denom, self.words = docs, numer, denom, words
+        small_batches(docs.sparkSession)
         schema = "doc_id long, th long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
         row = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(describe(words, bands_for(numer / denom)), schema)
         node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 61)))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut, table
+from .common import crc_of_id, cut, small_batches, table
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -257,6 +257,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Texts alone decide: equal texts have equal scores. A null text counts as empty, without hits.
     """
+    small_batches(df.sparkSession)
     df = df.drop("score", "hits")
     kept = df.schema
 
