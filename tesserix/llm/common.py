@@ -43,8 +43,7 @@ def small_batches(spark: SparkSession) -> None:
     each of its tasks. Batches are only how rows travel: results don't depend on them.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
-    if not 0 < now <= BATCH:
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH:
         spark.conf.set(key, str(BATCH))
 
 

@@ -18,9 +18,5 @@ def test_batches_to_python_are_bounded(spark):
         spark.conf.set(KEY, "1m")
         small_batches(spark)
         assert spark.conf.get(KEY) == "1m"
-        # no bound at all is bounded too
-        spark.conf.set(KEY, "-1")
-        small_batches(spark)
-        assert spark.conf.get(KEY) == str(BATCH)
     finally:
         spark.conf.set(KEY, before)
