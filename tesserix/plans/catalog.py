@@ -109,6 +109,17 @@ def _(spark, d):
     return relational.reliable(ratings(spark, d)).select("userId", "movieId", "rating", "rating_year")
 
 
+@query("flt13_eligible_users", f"{R} SELECT userId, count(*) AS user_count FROM ratings GROUP BY 1 HAVING count(*) >= 10")
+def _(spark, d):
+    """AGG12 too: users with their numbers of ratings, ten or more."""
+    return ratings(spark, d).groupBy("userId").agg(F.count(F.lit(1)).alias("user_count")).where("user_count >= 10")
+
+
+@query("agg13_distinct_counts", f"{R} SELECT count(*) AS n, count(DISTINCT userId) AS users, count(DISTINCT movieId) AS movies FROM ratings")
+def _(spark, d):
+    return ratings(spark, d).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("userId").alias("users"), F.countDistinct("movieId").alias("movies"))
+
+
 @query("flt11_liked", f"{R} SELECT * FROM ratings WHERE rating >= 3.5")
 def _(spark, d):
     return ratings(spark, d).where(F.col("rating") >= relational.LIKED)
