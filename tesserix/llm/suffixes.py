@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, forget_later, shared_dir, stored, table
+from .common import discard, forget_later, shared_dir, small_batches, stored, table
 from .textkit import SLICE, flat, mixed, powers, slices
 
 #: Bytes of a string that is removed where it repeats, of an anchor's string, and of a passage that is reported.
@@ -151,9 +151,14 @@ def windows(data: np.ndarray, offsets: np.ndarray, n: np.ndarray, length: int, s
     count = np.clip(np.minimum(np.diff(offsets) - length + 1, n), 0, None)
     own = np.repeat(np.arange(len(count)), count)
     at = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
-    if not len(own):
-        return own, at, np.zeros(0, np.uint64)
-    return own, at, hashes_at(prefix_sums(data), offsets[own] + at, length) ^ salt[own]
+    h = np.zeros(len(own), np.uint64)
+    done = 0
+    for i, j in slices(offsets):  # sums and powers of a slice, however many contexts there are
+        x = slice(done, done + int(count[i:j].sum()))
+        if x.start < x.stop:
+            h[x] = hashes_at(prefix_sums(data[offsets[i] : offsets[j]]), offsets[own[x]] - offsets[i] + at[x], length) ^ salt[own[x]]
+        done = x.stop
+    return own, at, h
 
 
 def side_by_side(length: int, passage: int):
@@ -259,6 +264,7 @@ class Index:
     def __init__(self, spark: SparkSession, length: int = LENGTH, gram: int = GRAM, passage: int = PASSAGE):
         if not HEAD <= gram < passage <= length:
             raise ValueError("an anchor's string must be shorter than a passage, and that no longer than what is removed")
+        small_batches(spark)
         self.spark, self.length, self.gram, self.passage, self.folder = spark, length, gram, passage, f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
         self.levels: list[tuple[int, str]] = []  # (size class, path), large ones first
         self.scans: list[str] = []

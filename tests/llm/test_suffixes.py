@@ -113,6 +113,37 @@ def test_long_words(monkeypatch):
     monkeypatch.setattr(textkit, "SLICE", 20)
     assert len(set(textkit.span_hashes(data, *spans).tolist())) == 2 and len(set(whole.tolist())) == 2
 
+
+def test_many_contexts_take_tables_of_a_slice(monkeypatch):
+    """However many contexts meet in one place, and their hashes are those of the strings alone."""
+    import numpy as np
+
+    asked, powers = [], suffixes.powers
+    monkeypatch.setattr(suffixes, "powers", lambda n: asked.append(n) or powers(n))
+    rng = np.random.default_rng(5)
+    some = rng.integers(0, 256, (500, 600), np.uint8)
+    data = np.concatenate((*some, *np.tile(some[:100], (60, 1)), some[7, :300], some[9])).ravel()  # 4 MB
+    offsets = np.cumsum([0, *[600] * 6500, 300, 600])
+    own, at, h = suffixes.windows(data, offsets, np.full(6502, 3), 400, np.zeros(6502, np.uint64))
+    assert own.tolist() == [k for k in range(6502) if k != 6500 for _ in range(3)] and at.tolist() == [0, 1, 2] * 6501
+    strings = [data[offsets[k] + i : offsets[k] + i + 400].tobytes() for k, i in zip(own.tolist(), at.tolist(), strict=True)]
+    assert len(set(strings)) == 1500 == len(set(h.tolist())) == len(set(zip(strings, h.tolist(), strict=True)))
+    assert max(asked) <= suffixes.SLICE + 2
+
+
+def test_batches_are_bounded(spark):
+    from tesserix.llm.common import BATCH
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "64m")
+        suffixes.Index(spark)
+        assert spark.conf.get(key) == str(BATCH)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_query(spark, small):
     got = sorted([tuple(r) for r in suffixes.op4_suffix_dedup(spark, SMALL).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()], key=str)
     assert got == brute(small.collect(), 400)
