@@ -70,6 +70,22 @@ def test_scores_follow_texts_alone(spark):
     assert got[0] == got[1] > got[2] == got[3]
 
 
+def test_learning_bounds_batches(spark):
+    """Fitting sends texts to Python before anything is scored."""
+    from tesserix.llm.common import BATCH
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(k, "you scum" if k < 5 else f"fine day {k}") for k in range(10)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 5)) for k in range(10)], "doc_id long, toxic int")
+    try:
+        spark.conf.set(key, "64m")
+        toxicity.fit(docs, labels)
+        assert spark.conf.get(key) == str(BATCH)
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_words_beside_their_stems():
     auto = toxicity.Automaton(["disgusting", "trash"], ["disgusti", "trash"])
     assert [auto.match(t) for t in ("disgusting", "disgustingly", "disgxsting", "disgstingg", "trash", "trashy", "trxsh", "tras", "tra")] == [1, 2, 3, 0, 1, 2, 3, 3, 0]
