@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of a batch that goes to Python.
 BATCH = 4 << 20
+#: Short rows (a few numbers) that are worth a partition of their own.
+ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +52,43 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH))
 
 
+def give_back() -> None:
+    """Returns to the system what this process has freed; without glibc, only what Arrow has."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, with give_back() at the end: workers live on after a task, beside an executor's other work, and keep what they have freed."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run for applyInArrow, with give_back() after groups of a quarter of BATCH or more."""
+
+    def whole(rows: pa.Table) -> pa.Table:
+        out = run(rows)
+        if rows.nbytes >= BATCH // 4:
+            give_back()
+        return out
+
+    return whole
+
+
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """df, of about so many rows, in no more partitions than they call for: each costs a task and a file with every cut()."""
+    parts = max(1, -(-rows // ROWS))
+    return df.repartition(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder: later steps neither recompute it nor need its executors."""
     spark = df.sparkSession

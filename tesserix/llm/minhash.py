@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, small_batches, table, tidy
+from .common import cut, gathered, lean, lean_group, small_batches, table, tidy
 from .textkit import WORDS, flat, mixed, shingles, slices
 
 #: Minima of a set, and the most that the probability may be that a pair at the threshold shares no band of them.
@@ -192,15 +192,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links each node's larger neighbours to its smallest one, small-star its smaller
     ones; both are an aggregation and a join, so a node with many neighbours is never gathered.
+    No round has more edges than came in; these are counted first, so they should be cheap to compute again.
     """
-    stars, before = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()), None
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    before, rows = None, edges.count()
+    stars = cut(gathered(pairs, rows))
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        stars = cut(small)
+        stars = cut(gathered(small, rows))
         now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -215,7 +218,7 @@ class Graph:
         self.docs, self.numer, self.denom, self.words = docs, numer, denom, words
         small_batches(docs.sparkSession)
         schema = "doc_id long, th long, n_shingles long, k1 long, k2 long, sig binary, bands array<long>"
-        row = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(describe(words, bands_for(numer / denom)), schema)
+        row = docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(lean(describe(words, bands_for(numer / denom))), schema)
         node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod("k1", F.lit(1 << 61)))
         self.rows = cut(row.withColumn("node", node))
         kinds = self.rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min(F.struct("node", "th", "n_shingles", "sig", "bands")).alias("x"))
@@ -229,10 +232,10 @@ class Graph:
         """Those of the pairs (a, b) that are links."""
         sig = self.nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa"))
         sib = self.nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb"))
-        held = cut(pairs.join(sig, "a").join(sib, "b").select("a", "b", "sa", "sb").mapInArrow(ruled_in(self.numer / self.denom), "a long, b long"))
+        held = cut(pairs.join(sig, "a").join(sib, "b").select("a", "b", "sa", "sb").mapInArrow(lean(ruled_in(self.numer / self.denom)), "a long, b long"))
         texts = self.texts(held.select(F.col("a").alias("node")).unionByName(held.select(F.col("b").alias("node"))).distinct())
         ta, tb = texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return held.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(confirmed(self.numer, self.denom, self.words), "a long, b long")
+        return held.join(ta, "a").join(tb, "b").select("a", "b", "ta", "tb").mapInArrow(lean(confirmed(self.numer, self.denom, self.words)), "a long, b long")
 
     def texts(self, nodes: DataFrame) -> DataFrame:
         """(node, text) of the nodes; rows that repeat in all columns give a node one text."""
@@ -263,12 +266,12 @@ class Graph:
         )
         laid = cut(laid.select("band", "node", "root", "own", F.explode(pairs).alias("p")).select("band", "p.i", "p.j", "node", "root", "own"))
         laid = laid.join(self.texts(laid.select("node").distinct()), "node")
-        return laid.groupBy("band", "i", "j").applyInArrow(block_links(self.numer, self.denom, self.words), "a long, b long").distinct()
+        return laid.groupBy("band", "i", "j").applyInArrow(lean_group(block_links(self.numer, self.denom, self.words)), "a long, b long").distinct()
 
     def solve(self) -> DataFrame:
         """(node, root) of all nodes that have links."""
         links = cut(self.links(self.representative_pairs()))
-        found = cut(components(links))
+        found = components(links)
         tidy(found.sparkSession)
         more = cut(self.missed(found))
         tidy(found.sparkSession)

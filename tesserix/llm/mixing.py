@@ -53,7 +53,11 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total: float
 
 
 def multipliers(hist: DataFrame, goals: DataFrame, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(no_src, src, lam, scale): lam null where every document is taken max_repeat times."""
+    """(no_src, src, lam, scale): lam null where every document is taken max_repeat times.
+
+    The state has one row a source, as in targets(), and stays in one partition; else every step
+    would add a partition for each one of its sums.
+    """
     cap = float(max_repeat)
     words = F.col("size").cast("double") * F.col("n")
     scale = hist.groupBy(*SRC).agg((F.sum(words * F.col("size")) / F.greatest(F.sum(words), F.lit(1.0))).alias("scale"))
@@ -61,7 +65,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, max_repeat: int = MAX_REPEAT)
         goals.join(scale, SRC).select(
             *SRC, "target", F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0).alias("scale"), F.lit(0.0).alias("lam"), F.lit(-1e9).alias("lo"), F.lit(1e9).alias("hi"),
             (F.col("source_size") * cap - F.col("target") <= CLOSE * F.col("target")).alias("full"), F.lit(False).alias("done"),
-        )
+        ).repartition(1)
     )
     for _ in range(STEPS):
         live = state.where(~F.col("full") & ~F.col("done"))
@@ -77,7 +81,7 @@ def multipliers(hist: DataFrame, goals: DataFrame, max_repeat: int = MAX_REPEAT)
         done = F.abs(f) <= CLOSE * F.col("target")
         on = got.join(state, SRC).withColumns({"l2": lo, "h2": hi})
         on = on.select(*SRC, "target", "scale", F.when(done, F.col("lam")).when(ok, new).otherwise(half).alias("lam"), F.col("l2").alias("lo"), F.col("h2").alias("hi"), "full", done.alias("done"))
-        state = cut(state.where("full or done").unionByName(on))
+        state = cut(state.where("full or done").unionByName(on).repartition(1))
         if state.where("not full and not done").isEmpty():
             break
     else:

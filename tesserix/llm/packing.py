@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, tokenizer_file
+from .common import cut, lean, table, tokenizer_file
 from .textkit import first_bytes, flat, slices, span_hashes
 
 LENGTH, END, OPEN, GROUP = 2048, 1, 64, 32
@@ -271,7 +271,7 @@ def pack(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    pieces = cut(rows.mapInArrow(packer(length, end, open_windows, folder, tokenizer, keep_ids), SCHEMA))
+    pieces = cut(rows.mapInArrow(lean(packer(length, end, open_windows, folder, tokenizer, keep_ids)), SCHEMA))
     done = pieces.where("part is null").drop("part")
     # tasks hold the open windows of GROUP partitions, however many partitions there are
     left = pieces.where("part is not null").withColumn("group", F.floor(F.col("part") / GROUP))

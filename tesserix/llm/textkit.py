@@ -41,7 +41,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(2 * SLICE, 1 << int(n).bit_length()))
+    return _powers(1 << max(SLICE, int(n)).bit_length())
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, cut, small_batches, table
+from .common import crc_of_id, cut, lean, small_batches, table
 
 #: Labelled rows that the model is fitted on: those with the smallest hashes of their ids.
 SAMPLE = 20_000
@@ -243,11 +243,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         share = n_toxic / max(1, n_toxic + n_clean)
         return Model([], [], bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))
     least = max(LEAST, int(SUPPORT * n_toxic))
-    counted = rows.where("y > 0").select("text").mapInArrow(count_terms(None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    counted = rows.where("y > 0").select("text").mapInArrow(lean(count_terms(None)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     toxic = {r["term"]: r["n"] for r in counted.collect()}
-    counted = rows.where("y = 0").select("text").mapInArrow(count_terms(frozenset(toxic)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    counted = rows.where("y = 0").select("text").mapInArrow(lean(count_terms(frozenset(toxic))), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     model = choose(toxic, {r["term"]: r["n"] for r in counted.collect()}, n_toxic, n_clean)
-    got = rows.mapInArrow(featured(model), "x array<double>, y int").collect()
+    got = rows.mapInArrow(lean(featured(model)), "x array<double>, y int").collect()
     w, b = logistic(np.array([r["x"] for r in got]), np.array([float(r["y"] > 0) for r in got]))
     model.weights, model.bias = w.tolist(), b
     return model
@@ -268,7 +268,7 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
             x = np.array([reader.features(t.as_py() or "") for t in batch.column(batch.schema.get_field_index(text))], float).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reader.score(x)), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*batch.schema.names, "score", "hits"])
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept) + ", score double, hits array<double>")
+    return df.mapInArrow(lean(run), ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept) + ", score double, hits array<double>")
 
 
 def held_out(doc_id):

@@ -1,8 +1,12 @@
 """What the corpus operators share."""
 
+import re
+from pathlib import Path
+
 import pyarrow as pa
+import pytest
 
-from tesserix.llm.common import BATCH, small_batches
+from tesserix.llm.common import BATCH, ROWS, gathered, lean, lean_group, small_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -20,3 +24,41 @@ def test_batches_to_python_are_bounded(spark):
         assert spark.conf.get(KEY) == "1m"
     finally:
         spark.conf.set(KEY, before)
+
+
+def held_mb() -> float:
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+
+
+def litter(pins: list) -> None:
+    """Frees 150 MB of small pieces, of which the last stays, so that the heap's end is in use."""
+    made = [bytes(1500) for _ in range(100_000)]
+    pins.append(made[-1])
+
+
+@pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux's own figures")
+def test_freed_memory_goes_back():
+    pins: list = []
+
+    def run(batches):
+        for batch in batches:
+            litter(pins)
+            yield batch
+
+    def group(rows):
+        litter(pins)
+        return rows
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * BATCH])], names=["text"])
+    before = held_mb()
+    assert list(lean(run)(iter([batch]))) == [batch] and held_mb() < before + 60
+    rows = pa.Table.from_batches([batch])
+    assert lean_group(group)(rows) is rows and held_mb() < before + 60
+    list(run(iter([batch])))
+    assert held_mb() > before + 100  # what the test is about
+
+
+def test_few_rows_have_few_partitions(spark):
+    df = spark.range(0, 1000, 1, 8)
+    assert gathered(df, 1000).rdd.getNumPartitions() == 1 and gathered(df, ROWS + 1).rdd.getNumPartitions() == 2
+    assert gathered(df, 1 << 60) is df and gathered(df, 0).count() == 1000

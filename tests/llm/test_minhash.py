@@ -89,3 +89,15 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (12, 11), (12, 20), (5, 5)] + [(100 + i, 101 + i) for i in range(40)]
     got = {r["node"]: r["root"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 11: 10, 12: 10, 20: 10, **{101 + i: 100 for i in range(40)}}
+
+
+def test_few_edges_have_few_partitions(spark):
+    """Rounds of a small graph cost no more tasks and files than its edges call for."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        got = minhash.components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long"))
+        assert got.rdd.getNumPartitions() == 1 and {r["root"] for r in got.collect()} == {0}
+    finally:
+        spark.conf.set(key, before)

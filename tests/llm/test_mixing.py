@@ -85,3 +85,23 @@ def test_an_unsettled_source_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(i, "a" if i % 3 else "b", 1 + i * i % 50) for i in range(300)], "doc_id long, source string, n long")
     with pytest.raises(ArithmeticError):
         mixing.mix(df, df["n"], df["source"], ["doc_id"])
+
+
+def test_steps_add_no_partitions(spark, small, monkeypatch):
+    """Else every Newton step would read and write one shuffle's partitions more than the one before."""
+    kept, cut, key = [], mixing.cut, "spark.sql.adaptive.coalescePartitions.enabled"
+
+    def noted(df):
+        kept.append(cut(df))
+        return kept[-1]
+
+    monkeypatch.setattr(mixing, "cut", noted)
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "false")
+        docs = small.select("doc_id", "source", F.length("text").alias("size"))
+        mixing.mix(docs, F.col("size"), F.col("source"), ["doc_id"])
+        states = [df for df in kept if "lam" in df.columns]
+        assert len(states) > 2 and {df.rdd.getNumPartitions() for df in states} == {1}
+    finally:
+        spark.conf.set(key, before)
