@@ -20,6 +20,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 BATCH = 4 << 20
 #: Short rows (a few numbers) that are worth a partition of their own.
 ROWS = 100_000
+#: Rows of a group after which memory is given back.
+GROUP = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,11 +74,11 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
 
 
 def lean_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
-    """run for applyInArrow, with give_back() after groups of a quarter of BATCH or more."""
+    """run for applyInArrow, with give_back() after large groups: a quarter of BATCH, or GROUP rows."""
 
     def whole(rows: pa.Table) -> pa.Table:
         out = run(rows)
-        if rows.nbytes >= BATCH // 4:
+        if rows.nbytes >= BATCH // 4 or rows.num_rows >= GROUP:
             give_back()
         return out
 

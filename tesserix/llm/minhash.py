@@ -23,17 +23,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, gathered, lean, lean_group, small_batches, table, tidy
+from .common import ROWS, cut, gathered, lean, lean_group, small_batches, table, tidy
 from .textkit import WORDS, flat, mixed, shingles, slices
 
 #: Minima of a set, and the most that the probability may be that a pair at the threshold shares no band of them.
 N_HASHES, MISS = 100, 1e-5
 #: Of the minima, 16 bits are kept for estimates, which can only raise them. Standard errors below the threshold at which a pair's estimate rules it out.
 Z = 5.0
-#: Shingles and nodes in a block, and columns of an incidence matrix at once.
-BLOCK, NODES, COLUMNS = 300_000, 2048, 8192
+#: Shingles and nodes in a block, and columns and cells of an incidence matrix at once.
+BLOCK, NODES, COLUMNS, CELLS = 300_000, 2048, 8192, 4_000_000
 #: Nodes without a document id have numbers from here on.
 NO_ID = 1 << 62
 
@@ -160,11 +161,20 @@ def block_links(numer: int, denom: int, words: int):
         x = np.flatnonzero(left)
         y = x if left.all() else np.flatnonzero(~left)
         both = np.zeros((len(x), len(y)), np.float32)
-        for start in range(0, int(shared.sum()), COLUMNS):
-            lo, hi = np.searchsorted(column, [start, start + COLUMNS])
-            m = np.zeros((len(parts), COLUMNS), np.float32)
-            m[owner[lo:hi], column[lo:hi] - start] = 1
-            both += m[x] @ m[y].T
+        place = np.where(left, np.cumsum(left), np.cumsum(~left)) - 1
+        width = min(COLUMNS, max(512, CELLS // len(parts)))
+
+        def incidence(side: np.ndarray, of: np.ndarray, at: np.ndarray) -> np.ndarray:
+            m = np.zeros((len(side), width), np.float32)
+            m[place[of], at] = 1
+            return m
+
+        for start in range(0, int(shared.sum()), width):
+            lo, hi = np.searchsorted(column, [start, start + width])
+            of, at = owner[lo:hi], column[lo:hi] - start
+            mine = left[of]
+            m = incidence(x, of[mine], at[mine])
+            both += m @ (m if y is x else incidence(y, of[~mine], at[~mine])).T
         top = {r: r for r in root.tolist()}
 
         def find(r: int) -> int:
@@ -192,12 +202,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Large-star links each node's larger neighbours to its smallest one, small-star its smaller
     ones; both are an aggregation and a join, so a node with many neighbours is never gathered.
-    No round has more edges than came in; these are counted first, so they should be cheap to compute again.
+    No round has more edges than came in; these are counted first, so they should be cheap to compute
+    again. Up to ROWS of them make a round one task, without shuffles, with windows in place of joins.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
-    before, rows = None, edges.count()
-    stars = cut(gathered(pairs, rows))
-    while True:
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    rows, before = edges.count(), None
+    few = rows <= ROWS
+    stars = cut((pairs.coalesce(1) if few else pairs).distinct())
+    least = F.min("v").over(W.partitionBy("u"))
+    either = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")
+    while few:
+        large = stars.coalesce(1).select(either).select("x.*").withColumn("m", F.least("u", least)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        both = F.array(F.struct(F.when(F.col("v") != F.col("m"), F.col("v")).alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
+        stars = cut(large.withColumn("m", least).select(F.explode(both).alias("x")).select("x.*").where("u IS NOT NULL").distinct())
+        now = stars.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if now == before:
+            break
+        before = now
+    while not few:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()

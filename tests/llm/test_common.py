@@ -1,12 +1,13 @@
 """What the corpus operators share."""
 
-import re
+import subprocess
+import sys
 from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
-from tesserix.llm.common import BATCH, ROWS, gathered, lean, lean_group, small_batches
+from tesserix.llm.common import BATCH, ROWS, gathered, small_batches
 
 KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -26,36 +27,42 @@ def test_batches_to_python_are_bounded(spark):
         spark.conf.set(KEY, before)
 
 
-def held_mb() -> float:
-    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+FREED = """
+import re
+import pyarrow as pa
+from tesserix.llm.common import BATCH, lean, lean_group
+
+def held_mb():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
 
+pins = []
 
-def litter(pins: list) -> None:
-    """Frees 150 MB of small pieces, of which the last stays, so that the heap's end is in use."""
+def litter():  # frees 150 MB of small pieces, of which the last stays, so that the heap's end is in use
     made = [bytes(1500) for _ in range(100_000)]
     pins.append(made[-1])
 
+def run(batches):
+    for batch in batches:
+        litter()
+        yield batch
+
+def group(rows):
+    litter()
+    return rows
+
+batch = pa.RecordBatch.from_arrays([pa.array(["x" * BATCH])], names=["text"])
+rows, before = pa.Table.from_batches([batch]), held_mb()
+assert list(lean(run)(iter([batch]))) == [batch] and held_mb() < before + 60
+assert lean_group(group)(rows) is rows and held_mb() < before + 60
+list(run(iter([batch])))
+assert held_mb() > before + 100  # what the test is about
+"""
+
 
 @pytest.mark.skipif(not Path("/proc/self/smaps_rollup").exists(), reason="reads Linux's own figures")
 def test_freed_memory_goes_back():
-    pins: list = []
-
-    def run(batches):
-        for batch in batches:
-            litter(pins)
-            yield batch
-
-    def group(rows):
-        litter(pins)
-        return rows
-
-    batch = pa.RecordBatch.from_arrays([pa.array(["x" * BATCH])], names=["text"])
-    before = held_mb()
-    assert list(lean(run)(iter([batch]))) == [batch] and held_mb() < before + 60
-    rows = pa.Table.from_batches([batch])
-    assert lean_group(group)(rows) is rows and held_mb() < before + 60
-    list(run(iter([batch])))
-    assert held_mb() > before + 100  # what the test is about
+    """In a process of its own, as other tests' leavings count too."""
+    subprocess.run([sys.executable, "-c", FREED], check=True, timeout=60)
 
 
 def test_few_rows_have_few_partitions(spark):

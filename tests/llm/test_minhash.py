@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,68 @@ def test_few_edges_have_few_partitions(spark):
         assert got.rdd.getNumPartitions() == 1 and {r["root"] for r in got.collect()} == {0}
     finally:
         spark.conf.set(key, before)
+
+
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_components_of_few_and_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "ROWS", few)
+    rng, top = random.Random(5), {}
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000, 1000 + i) for i in range(1, 60)] + [(2000 + i, 2001 + i) for i in range(40)] + [(7, 7)]
+
+    def find(n):
+        while top.setdefault(n, n) != n:
+            n = top[n]
+        return n
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        top[max(a, b)] = min(a, b)
+    got = {(r["node"], r["root"]) for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(n, find(n)) for n in top if any(n in e and e[0] != e[1] for e in edges) and n != find(n)} | {(n, r) for n, r in got if n == r and find(n) == n}
+
+
+def test_rounds_of_few_edges_are_one_task(spark):
+    """No shuffle in a round: the result has one partition, whatever the session's number is, and its jobs few tasks."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    sc, group = spark.sparkContext, "rounds"
+    sc.setJobGroup(group, group)
+    try:
+        minhash.components(edges)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    status = sc.statusTracker()
+    stages = [status.getStageInfo(s) for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds]
+    written = [s for s in stages if s and "checkpoint" in s.name]
+    assert len(written) > 2 and all(s.numTasks == 1 for s in written) and len(stages) <= 4 * len(written) + 4
+
+
+def test_blocks_take_little_room():
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    texts = []
+    for _ in range(1200):
+        words = list(base)
+        for at in rng.sample(range(300), 6):
+            words[at] = f"x{rng.randrange(6)}_{at}"
+        texts.append(" ".join(words))
+    n = len(texts)
+    for own in ([0] * n, [k % 2 for k in range(n)]):
+        rows = pa.table({"node": range(n), "root": range(n), "own": own, "i": [0] * n, "text": texts})
+        tracemalloc.start()
+        try:
+            links = minhash.block_links(50, 100, 5)(rows)
+            peak = tracemalloc.get_traced_memory()[1] / 2**20
+        finally:
+            tracemalloc.stop()
+        sets = [frozenset(zip(*(w[k:] for k in range(5)))) for w in map(str.split, texts)]  # noqa: B905
+        top = list(range(n))
+
+        def find(a, top=top):
+            while top[a] != a:
+                a = top[a]
+            return a
+
+        for a, b in zip(links["a"].to_pylist(), links["b"].to_pylist(), strict=True):
+            assert 100 * len(sets[a] & sets[b]) >= 50 * len(sets[a] | sets[b]) and find(a) != find(b) and (own[a] != own[b] or not any(own))
+            top[find(a)] = find(b)
+        assert peak < 75
