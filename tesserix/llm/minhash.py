@@ -293,6 +293,7 @@ class Graph:
     def solve(self) -> DataFrame:
         """(node, root) of all nodes that have links."""
         links = cut(self.links(self.representative_pairs()))
+        tidy(links.sparkSession)
         found = components(links)
         tidy(found.sparkSession)
         more = cut(self.missed(found))
