@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserix.operators import bayes, relational
+from tesserix.plans import catalog
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def shuffled_rows(spark, run) -> int:
@@ -33,7 +36,7 @@ def unbroadcast(spark):
 def test_ranked_rows_stay(spark, made):
     """Only buckets that a boundary runs through are ranked."""
     rows = spark.range(0, 3000, 1, 3).select(F.col("id").alias("k"), F.spark_partition_id().alias("home")).localCheckpoint()
-    there = made(rows).select("home", F.spark_partition_id().alias("there")).collect()
+    there = made(rows).select("*", F.spark_partition_id().alias("there")).collect()
     assert sum(r.home == r.there for r in there) > 2900
 
 
@@ -81,3 +84,13 @@ def test_errors_of_alike_rows(spark, unbroadcast):
     one = bayes.errors(df, "rating").first()
     d = [(i % 5) - (i % 4) for i in range(4000)]
     assert math.isclose(one["mse"], sum(x * x for x in d) / 4000) and math.isclose(one["r2"], 1 - sum(x * x for x in d) / (2 * 4000)) and one["tp"] == 0 and one["tn"] == 3200
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["imp1_bayes_importance", "imp4_group_importance", "imp5_class_parameters"])
+def test_split_is_made_once(spark, name):
+    """Each parameter reads the training rows; these are split and written first."""
+    assert "lineitem.parquet" not in plan(catalog.queries()[name](spark, SMALL))
