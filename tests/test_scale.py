@@ -94,3 +94,12 @@ def plan(df) -> str:
 def test_split_is_made_once(spark, name):
     """Each parameter reads the training rows; these are split and written first."""
     assert "lineitem.parquet" not in plan(catalog.queries()[name](spark, SMALL))
+
+
+def test_ratings_are_made_once(spark):
+    """Several steps read them, so these read what was written."""
+    from tesserix.plans.catalog import Split
+    from tesserix.plans.content_queries import Content
+
+    split, both = Split(spark, SMALL), Content(spark, SMALL)
+    assert not any("lineitem.parquet" in plan(df) for df in (split.train, split.test, both.split, both.films))
