@@ -103,3 +103,23 @@ def test_ratings_are_made_once(spark):
 
     split, both = Split(spark, SMALL), Content(spark, SMALL)
     assert not any("lineitem.parquet" in plan(df) for df in (split.train, split.test, both.split, both.films))
+
+
+def test_csv_files_are_bounded(spark, tmp_path, monkeypatch):
+    """One task reads a file whole, so none holds all rows; and all rows come back, line breaks too."""
+    from tesserix.sources import files
+
+    monkeypatch.setattr(files, "FILE_ROWS", 10)
+    rows = spark.range(0, 95, 1, 1).selectExpr("cast(id AS string) AS id", "concat('a\\n\"', id, '\", b') AS text")
+    path = files.write_csv(rows, str(tmp_path / "x.csv"))
+    assert len(list((tmp_path / "x.csv").glob("part-*.csv"))) == 10
+    assert sorted(files.read_csv(spark, path).collect()) == sorted(rows.collect())
+
+
+@pytest.mark.parametrize("name", ["credits", "keywords", "movies_metadata"])
+def test_texts_are_parsed_by_all_cores(spark, name):
+    """The table is a single small file."""
+    from tesserix.sources import raw_roles
+
+    raw = raw_roles.all_raw(spark, SMALL)[name]
+    assert raw.groupBy(F.spark_partition_id()).count().count() > 1
