@@ -10,9 +10,14 @@ from .roles import table
 KEY = "p_partkey"
 
 
+def films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of parts, dealt out over all cores: a small file of many rows is read by few tasks, and its texts take long to make, write and parse."""
+    return table(spark, sf_dir, "part").repartition(2 * spark.sparkContext.defaultParallelism)
+
+
 def movies_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.expr
-    return table(spark, sf_dir, "part").select(
+    return films(spark, sf_dir).select(
         e(f"CASE WHEN {KEY} % 97 = 5 THEN 'junk' ELSE cast({KEY} AS string) END").alias("id"), F.col("p_name").alias("title"), F.col("p_name").alias("original_title"), e("concat(p_type, '\\n\"', p_name, '\", again')").alias("overview"),
         e(f"""CASE WHEN {KEY} % 3 = 0 THEN concat('[{{\\'id\\': 1, \\'name\\': \\'', p_type, '\\', \\'x\\': None}}, {{\\'name\\': \\'', p_brand, '\\'}}]')
           WHEN {KEY} % 11 = 4 THEN 'garbage' WHEN {KEY} % 13 = 4 THEN '{{"name":"lone"}}' ELSE concat('[{{"id":1,"name":"', p_type, '"}},{{"name":"', p_brand, '"}},{{"name":""}}]') END""").alias("genres"),
@@ -29,12 +34,12 @@ def credits(spark: SparkSession, sf_dir: str) -> DataFrame:
     cast = """concat('[{"name":"', p_brand, '","order":2},{"name":"', split(p_name, ' ')[0], '"},{"name":"","order":1},{"name":"', split(p_name, ' ')[1], '","order":2},{"name":"', p_type, '","order":0}]')"""
     crew = """concat('[{\\'job\\': \\'Director\\', \\'name\\': \\'', p_brand, '\\'}, {\\'job\\': \\'Executive Producer\\', \\'name\\': \\'', p_type, '\\'}, {\\'job\\': \\'Screenplay\\', \\'department\\': \\'Writing\\', \\'name\\': \\'', p_name,
       '\\'}, {\\'job\\': \\'Original Music Composer\\', \\'name\\': \\'', p_size, '\\'}, {\\'job\\': \\'Director\\'}, {\\'name\\': None}]')"""
-    part = table(spark, sf_dir, "part")
+    part = films(spark, sf_dir)
     return part.select(F.col(KEY).cast("string").alias("id"), F.expr(f"CASE WHEN {KEY} % 19 = 3 THEN '' ELSE {cast} END").alias("cast"), F.expr(crew).alias("crew"))
 
 
 def keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.col(KEY).cast("string").alias("id"), F.expr("concat('[{\"name\":\"', upper(p_name), '\"},{\"name\":\"\"},{\"name\":\"', p_type, '\"}]')").alias("keywords"))
+    return films(spark, sf_dir).select(F.col(KEY).cast("string").alias("id"), F.expr("concat('[{\"name\":\"', upper(p_name), '\"},{\"name\":\"\"},{\"name\":\"', p_type, '\"}]')").alias("keywords"))
 
 
 def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
