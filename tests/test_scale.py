@@ -123,3 +123,17 @@ def test_texts_are_parsed_by_all_cores(spark, name):
 
     raw = raw_roles.all_raw(spark, SMALL)[name]
     assert raw.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_terms_stay_with_their_texts(spark):
+    """Texts are exchanged, not the terms of each; those of one id count together."""
+    from tesserix.operators import content
+
+    rows = [(i // 2 if i < 4 else i, " ".join(f"w{(i * 7 + j * j) % 101}" for j in range(60))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string").localCheckpoint()
+    made = content.tfidf(docs, F.col("text"), stop=[])
+    assert shuffled_rows(spark, lambda: made.write.format("noop").mode("overwrite").save()) < 8000
+    tf = {(r.id, r.term): r.tf for r in content.term_counts(docs, F.col("text"), ["w0"]).collect()}
+    both = (rows[0][1] + " " + rows[1][1]).split()
+    assert {t: n for (i, t), n in tf.items() if i == 0} == {t: both.count(t) for t in set(both) - {"w0"}}
+    assert {r.id: r.n for r in made.groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("value")), 9).alias("n")).collect()} == {i: 1.0 for i, _ in rows}
