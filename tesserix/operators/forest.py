@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from .relational import stratified_folds
 
 TREES, DEPTH, LEAF, SEED = 100, 20, 2, 42
+#: Rows of a partition while the trees grow; Spark keeps some 250 bytes of each there for ten trees.
+PART = 250_000
 
 
 def pipeline(label: str, numeric: list[str], named: list[str], trees: int = TREES, depth: int = DEPTH, bins: int = 32) -> Pipeline:
@@ -23,7 +26,13 @@ def pipeline(label: str, numeric: list[str], named: list[str], trees: int = TREE
 
 
 def fit(train: DataFrame, label: str, numeric: list[str], named: list[str], **how) -> PipelineModel:
-    return pipeline(label, numeric, named, **how).fit(train.withColumn("__label", F.col(label).cast("string")))
+    """The rows are dealt out evenly and kept until the trees are grown: files of few bytes may hold many rows."""
+    rows = train.select(F.col(label).cast("string").alias("__label"), *numeric, *named)
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // PART))).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return pipeline(label, numeric, named, **how).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(df: DataFrame, model: PipelineModel, label: str) -> DataFrame:

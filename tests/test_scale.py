@@ -137,3 +137,25 @@ def test_terms_stay_with_their_texts(spark):
     both = (rows[0][1] + " " + rows[1][1]).split()
     assert {t: n for (i, t), n in tf.items() if i == 0} == {t: both.count(t) for t in set(both) - {"w0"}}
     assert {r.id: r.n for r in made.groupBy("id").agg(F.round(F.sum(F.col("value") * F.col("value")), 9).alias("n")).collect()} == {i: 1.0 for i, _ in rows}
+
+
+def test_trees_grow_on_bounded_partitions(spark, monkeypatch):
+    """A file of few bytes may hold many rows, and Spark keeps each with what the trees need."""
+    from tesserix.operators import forest
+
+    monkeypatch.setattr(forest, "PART", 100, raising=False)
+    seen, made = [], forest.pipeline
+
+    class Spy:
+        def __init__(self, inner):
+            self.inner = inner
+
+        def fit(self, rows):
+            seen.append((rows.count(), max(r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect())))
+            return self.inner.fit(rows)
+
+    monkeypatch.setattr(forest, "pipeline", lambda *a, **how: Spy(made(*a, **how)))
+    train = spark.range(0, 1000, 1, 1).select((F.col("id") % 3).cast("double").alias("y"), (F.col("id") % 3 + F.col("id") % 2).cast("double").alias("x"), F.when(F.col("id") % 3 == 1, "a").otherwise("b").alias("s"))
+    model = forest.fit(train, "y", ["x"], ["s"], trees=3, depth=4)
+    assert [n for n, _ in seen] == [1000] and seen[0][1] <= 110
+    assert forest.predict(train, model, "y").where("predicted = y").count() > 900
